@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphmine.llm import bpe_automaton, repair_store, runtime
+from graphmine.llm import bpe_automaton, fertility_rules, hilbert_shards, repair_store, runtime, zstd_secrets
 from graphmine.llm.runtime import table
 
 
@@ -21,6 +22,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = fertility_rules.judge(docs, tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    names = [*fertility_rules.BASE, *fertility_rules.MEASURES, "base_failed", "kept"]
+    return judged.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col("__q_" + k).alias(k) for k in names))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.assign_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op7_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = runtime.new_path(spark, "op8")
     repair_store.write_store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end_id=2)
@@ -33,6 +51,9 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_fertility_rules": op5_fertility_rules,
+        "op6_hilbert_shards": op6_hilbert_shards,
+        "op7_zstd_secrets": op7_zstd_secrets,
         "op8_repair_store": op8_repair_store,
         "op10_bpe_automaton": op10_bpe_automaton,
     }
