@@ -190,7 +190,13 @@ class Codec:
         """
         if max(chunk) >= "ɐ":
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
-        words = self.pre.findall(chunk.lower())
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            words = [chunk]
+        elif chunk[-1] in ".," and chunk[:-1].isalpha():
+            words = [chunk[:-1], chunk[-1]]
+        else:
+            words = self.pre.findall(chunk)
         return words if chunk.isascii() and chunk.isprintable() else [w.encode("utf-8").decode("latin-1").translate(self.letters) for w in words]
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:

@@ -181,14 +181,17 @@ class KnownRuns(dict):
 
 
 class LibraryIds:
-    """Ids by the tokenizers library; frequent runs without white space are kept, the others of a batch go to it at once."""
+    """Ids by the tokenizers library's model; frequent runs without white space are kept, each other goes to it once a batch."""
 
     def __init__(self, spec: str, cached: int):
-        self.library = tokenizers.Tokenizer.from_str(spec)
+        self.model = tokenizers.Tokenizer.from_str(spec).model
         self.split = Codec(json.loads(spec), 0)
-        self.mark, self.mark_id = max(self.split.special.items(), key=lambda x: x[1], default=("", -1))
         self.cached, self.kept = cached, KnownRuns()
 
+    def run_ids(self, run: str) -> bytes:
+        tokenize = self.model.tokenize
+        return np.array([t.id for word in self.split.split(run) for t in tokenize(word)], "<u2").tobytes()
+
     def parts(self, text: str) -> list[str]:
         """Runs of the text; where lower case maps letters one by one it is taken here, so that fewer runs differ."""
         try:
@@ -203,13 +206,7 @@ class LibraryIds:
         parts = list(map(self.parts, texts))
         new = list(set().union(*parts).difference(self.kept, self.split.special))
         now = {p: np.array([i], "<u2").tobytes() for p, i in self.split.special.items()}
-        if self.mark:
-            ids = np.array(self.library.encode(self.mark.join(new), add_special_tokens=False).ids if new else [], np.uint32)
-            small = ids.astype("<u2").tobytes()
-            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            now |= {p: small[2 * a + 2 : 2 * b] for p, a, b in zip(new, cuts, cuts[1:], strict=False)}
-        else:
-            now |= {p: np.array(e.ids, "<u2").tobytes() for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
+        now |= {run: self.run_ids(run) for run in new}
         if len(self.kept) < self.cached:
             self.kept.update(now)
         self.kept.now = now
@@ -221,7 +218,7 @@ class LibraryIds:
 BLOCK = "part int, block int, n_docs long, n_ids long, payload binary"
 READ = "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
 #: Runs that a worker keeps, and characters that go to the tokenizer at once.
-CACHED, AT_ONCE = 600_000, 16_000_000
+CACHED, AT_ONCE = 300_000, 6_000_000
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
