@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmine.llm import bpe_automaton, fertility_rules, hilbert_shards, ngram_join, repair_store, runtime, zstd_secrets
+from graphmine.llm import bpe_automaton, fertility_rules, hilbert_shards, lattice_lm, ngram_join, repair_store, runtime, zstd_secrets
 from graphmine.llm.runtime import table
 
 
@@ -22,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lattice_lm": op1_lattice_lm,
         "op3_ngram_join": op3_ngram_join,
         "op5_fertility_rules": op5_fertility_rules,
         "op6_hilbert_shards": op6_hilbert_shards,
