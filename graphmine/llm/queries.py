@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmine.llm import bpe_automaton, fertility_rules, hilbert_shards, lattice_lm, ngram_join, repair_store, runtime, zstd_secrets
+from graphmine.llm import bpe_automaton, decontaminate, fertility_rules, hilbert_shards, lattice_lm, line_dedup, ngram_join, repair_store, runtime, zstd_secrets
 from graphmine.llm.runtime import table
 
 
@@ -26,6 +26,15 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -60,6 +69,8 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lattice_lm": op1_lattice_lm,
+        "op2_decontaminate": op2_decontaminate,
+        "op4_line_dedup": op4_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op5_fertility_rules": op5_fertility_rules,
         "op6_hilbert_shards": op6_hilbert_shards,
