@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmine.llm import bpe_automaton, decontaminate, fertility_rules, hilbert_shards, lattice_lm, line_dedup, ngram_join, repair_store, runtime, zstd_secrets
+from graphmine.llm import bpe_automaton, decontaminate, fertility_rules, hilbert_shards, lattice_lm, line_dedup, ngram_join, quote_links, repair_store, runtime, zstd_secrets
 from graphmine.llm.runtime import table
 
 
@@ -62,6 +62,10 @@ def op8_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.read_store(spark, path)
 
 
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link(table(spark, sf_dir, "conversations"))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.roundtrip_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_hilbert_shards": op6_hilbert_shards,
         "op7_zstd_secrets": op7_zstd_secrets,
         "op8_repair_store": op8_repair_store,
+        "op9_quote_links": op9_quote_links,
         "op10_bpe_automaton": op10_bpe_automaton,
     }
 
