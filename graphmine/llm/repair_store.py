@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,34 +32,42 @@ from graphmine.llm.bpe_automaton import Codec
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
 #: Documented parameters of the format: ids a shard closes at, most rounds, and the least count and gain that pay.
-SHARD_IDS, ROUNDS, LEAST_COUNT, LEAST_GAIN = 1 << 20, 4, 6, 0.02
+SHARD_IDS, ROUNDS, LEAST_COUNT, LEAST_GAIN = 1 << 20, 3, 6, 0.02
 PICKED = 4096
 HASH_BITS = 19
 
 
-def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the most frequent pairs, which occur ``least`` times or more, and their pair keys (a hashed count first, then an exact one)."""
-    h = (seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))
+def _place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
     h >>= np.uint32(32 - HASH_BITS)
+    return h
+
+
+def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the most frequent pairs, which occur ``least`` times or more, with their pair keys and hashes (a hashed count first, then an exact one)."""
+    h = _place(seq[:-1], seq[1:])
     counts = np.bincount(h, minlength=1 << HASH_BITS)
     most = counts[counts >= least]
     if len(most) > PICKED:
         least = int(np.partition(most, len(most) - PICKED)[len(most) - PICKED])
     at = np.flatnonzero((counts >= least)[h])
-    return at, seq[at].astype(np.uint32) << np.uint32(16) | seq[at + 1]
+    return at, seq[at] << np.uint32(16) | seq[at + 1], h[at]
 
 
 def _choose(keys: np.ndarray, least: int, room: int) -> np.ndarray:
-    """Pairs to replace in this round, in the order of their nonterminals."""
+    """Pairs to replace in this round, in the order of their nonterminals; of pairs with one hash only the most frequent."""
     found, counts = np.unique(keys, return_counts=True)
     order = np.argsort(-counts, kind="stable")[: min(PICKED, int((counts >= least).sum()))]
     lefts: set[int] = set()
     rights: set[int] = set()
+    taken: set[int] = set()
     picked = []
-    for k in found[order].tolist():
+    found = found[order]
+    for k, h in zip(found.tolist(), _place(found >> np.uint32(16), found & np.uint32(0xFFFF)).tolist(), strict=True):
         a, b = k >> 16, k & 0xFFFF
-        if len(picked) < room and a not in rights and b not in lefts and (a != b or a not in lefts):
+        if len(picked) < room and h not in taken and a not in rights and b not in lefts and (a != b or a not in lefts):
             picked.append(k)
+            taken.add(h)
             lefts.add(a)
             rights.add(b)
     return np.array(picked, np.uint32)
@@ -71,22 +80,23 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         room = SYMBOLS - first - len(rules)
         if len(seq) < 2 * least or room <= 0:
             break
-        at, keys = _frequent(seq, least)
+        at, keys, places = _frequent(seq, least)
         picked = _choose(keys, least, room)
         if not len(picked):
             break
-        order = np.argsort(picked)
-        place = np.minimum(np.searchsorted(picked, keys, sorter=order), len(picked) - 1)
-        hit = picked[order[place]] == keys
-        at, rule = at[hit], order[place[hit]]
-        same = (seq[at] == seq[at + 1]) & True
+        table = np.zeros(1 << HASH_BITS, np.int32)
+        table[_place(picked >> np.uint32(16), picked & np.uint32(0xFFFF))] = np.arange(len(picked), dtype=np.int32)
+        rule = table[places]
+        hit = picked[rule] == keys
+        at, rule = at[hit], rule[hit]
+        same = seq[at] == seq[at + 1]
         if same.any():  # a run of one symbol is cut into pairs from its start
             p = at[same]
             start = np.maximum.accumulate(np.where(np.diff(p, prepend=-2) != 1, p, 0))
             drop = np.zeros(len(at), bool)
             drop[np.flatnonzero(same)[(p - start) % 2 == 1]] = True
             at, rule = at[~drop], rule[~drop]
-        seq[at] = (first + len(rules) + rule).astype(np.uint32)
+        seq[at] = (rule + (first + len(rules))).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         before = len(seq)
@@ -172,25 +182,29 @@ class Shard:
 
 
 class KnownRuns(dict):
-    """Ids of kept runs; those of the batch at hand stand in ``now``."""
+    """Ids of runs seen so far, as bytes; emptied between batches once it holds too many."""
 
-    now: dict[str, bytes] = {}
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
     def __missing__(self, run: str) -> bytes:
-        return self.now[run]
+        ids = self[run] = self.make(run)
+        return ids
 
 
 class LibraryIds:
-    """Ids by the tokenizers library's model; frequent runs without white space are kept, each other goes to it once a batch."""
+    """Ids by the tokenizers library's model, which sees each run without white space once while it is known."""
 
     def __init__(self, spec: str, cached: int):
         self.model = tokenizers.Tokenizer.from_str(spec).model
         self.split = Codec(json.loads(spec), 0)
-        self.cached, self.kept = cached, KnownRuns()
+        self.special = {p: array("H", [i]).tobytes() for p, i in self.split.special.items()}
+        self.cached, self.known = cached, KnownRuns(self.run_ids)
 
     def run_ids(self, run: str) -> bytes:
         tokenize = self.model.tokenize
-        return np.array([t.id for word in self.split.split(run) for t in tokenize(word)], "<u2").tobytes()
+        return self.special.get(run) or array("H", [t.id for word in self.split.split(run) for t in tokenize(word)]).tobytes()
 
     def parts(self, text: str) -> list[str]:
         """Runs of the text; where lower case maps letters one by one it is taken here, so that fewer runs differ."""
@@ -203,22 +217,28 @@ class LibraryIds:
 
     def batch(self, texts: list[str], end: int) -> tuple[bytes, list[int]]:
         """16-bit ids of all texts one after another, each with ``end`` behind it, and their counts."""
-        parts = list(map(self.parts, texts))
-        new = list(set().union(*parts).difference(self.kept, self.split.special))
-        now = {p: np.array([i], "<u2").tobytes() for p, i in self.split.special.items()}
-        now |= {run: self.run_ids(run) for run in new}
-        if len(self.kept) < self.cached:
-            self.kept.update(now)
-        self.kept.now = now
+        if len(self.known) > self.cached:
+            self.known.clear()
         stop = struct.pack("<H", end)
-        out = [b"".join(map(self.kept.__getitem__, ps)) + stop for ps in parts]
+        out = [b"".join(map(self.known.__getitem__, self.parts(t))) + stop for t in texts]
         return b"".join(out), [len(x) // 2 for x in out]
 
 
+_libraries: dict[str, LibraryIds] = {}
+
+
+def library_ids(spec: str) -> LibraryIds:
+    """The tokenizer of a file's content, one per worker; what it knows outlives a task."""
+    if spec not in _libraries:
+        _libraries.clear()
+        _libraries[spec] = LibraryIds(spec, CACHED)
+    return _libraries[spec]
+
+
 BLOCK = "part int, block int, n_docs long, n_ids long, payload binary"
 READ = "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
-#: Runs that a worker keeps, and characters that go to the tokenizer at once.
-CACHED, AT_ONCE = 300_000, 6_000_000
+#: Runs that a worker knows before it starts anew, and characters of a batch.
+CACHED, AT_ONCE = 400_000, 4_000_000
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
@@ -234,7 +254,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, sh
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = LibraryIds(spec.value, CACHED)
+        made = library_ids(spec.value)
         first = len(made.split.labels)
         if first >= SYMBOLS:
             raise ValueError("this format holds 16-bit symbols")
