@@ -1 +1 @@
-
+"""Search plans."""
