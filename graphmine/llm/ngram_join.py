@@ -5,13 +5,17 @@ wider than the last, so that two sets with Jaccard 0.8 lie in one band or in nei
 universe into ``m`` ranges (segments).  Two sets of sizes a <= b that link differ in at most (a + b) / 9 elements; so
 of segments with weights that add up to one more than that, one segment of weight 1 is equal on both sides, or one of weight 2
 differs in one element at most and is found in the one-deletion neighbourhood.  The smaller set is indexed by all its
-segments, with the deletions of some; the larger one probes with the cheapest choice of weights: it takes large
-segments first, since small and empty ones are shared by many sets, and uses deletions where that is cheaper still.
+segments, with the deletions of some; the larger one probes with the cheapest choice of weights.  A segment costs as
+many sets as are thought to share it: the least number of sets of the map batch that one of its elements occurs in, and without
+end if it is empty; of equal costs the larger segment is taken.  Any choice of enough weight finds all links, so costs need not be
+agreed on.
 
-Signatures travel as packed arrays.  A signature of up to ``SMALL`` sets gives all its pairs; a more frequent one gives a
+Signatures travel as packed arrays.  A signature of up to ``SMALL`` pairs gives them all; a more frequent one gives a
 star around its least set (in the map batch first, so that a hot group leaves each batch as one row) and the list of
 its members.  Pairs are verified on the exact sets, best partner first; pairs inside one component are
-not tried again; members of a frequent signature that stay in different components are then paired.
+not tried again.  Members of frequent signatures that stay in different components are compared in blocks: crowds
+with one centre are cut into blocks of bounded size, and each two blocks are one task's sets, compared by one matrix
+product of which links alone come out.
 """
 
 from __future__ import annotations
@@ -31,12 +35,15 @@ from graphmine.llm.components import components
 
 WORDS = 5
 U = np.uint64
-#: Documented parameters: spare weight of a band in hundredths (segments, deletions); most sets of a signature that
-#: are paired outright; documents and words of a map batch; text bytes for each partition of signatures.
-SPARE, DELETIONS, SMALL = 5, 6, 16
-BATCH_DOCS, BATCH_WORDS, PARTITION_BYTES = 2000, 1_500_000, 12_000_000
+#: Documented parameters: spare weight of a band in hundredths (segments, deletions); most pairs of a signature that
+#: are written outright; documents and words of a map batch; text bytes for each partition of signatures.
+SPARE, DELETIONS, SMALL = 5, 6, 1024
+BATCH_DOCS, BATCH_WORDS, PARTITION_BYTES = 2000, 800_000, 8_000_000
+#: Members and set elements that a block of a crowd is aimed at.
+BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 BUCKETS_PER_PARTITION = 2
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
+_NEVER = 1 << 40
 INDEX, PROBE, HOT = 1, 2, 4
 
 
@@ -120,7 +127,8 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     own = np.searchsorted(_LIMITS, sizes)
     out = []
     token_mix = mix(sets + U(0x2545F4914F6CDD1D))
-    upto = np.concatenate([np.zeros(1, U), np.cumsum(token_mix, dtype=U)])
+    _, same, times = np.unique(sets, return_inverse=True, return_counts=True)
+    common = times[same]
     high = sets >> U(32)
     for below in (0, 1):
         band = own - below
@@ -138,21 +146,22 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
         seg_owner = np.repeat(np.arange(len(live)), m)
         seg_place = np.arange(first[-1]) - first[seg_owner]
         begin = np.cumsum(count) - count
-        at = np.append(token, 0)
         # a segment's elements are neighbours in the sorted set
         run = np.concatenate([np.zeros(1, U), np.cumsum(token_mix[token], dtype=U)])
-        del at, upto
-        upto = run
         sums = run[begin + count] - run[begin]
         seg_band = band[live][seg_owner]
         keys = _segment_keys(sums, seg_band, seg_place)
         deletable = np.flatnonzero(seg_place < deletions[seg_owner])
-        # the cheapest weights: large segments first; a deletion counts as a segment smaller by one
         b = sizes[live]
         need = (b + np.minimum(b, limit)) // 9 + 1
+        by_cost = np.lexsort((common[token], segment))
+        ranked = np.append(common[token][by_cost], _NEVER)
+        cost = np.where(count > 0, ranked[begin], _NEVER)
+        cut_cost = np.where(count > 1, ranked[np.minimum(begin + 1, len(ranked) - 1)], _NEVER)
         item_owner = np.concatenate([seg_owner, seg_owner[deletable]])
         item_size = np.concatenate([count, count[deletable] - 1])
-        order = np.lexsort((-item_size, item_owner))
+        item_cost = np.concatenate([cost, np.maximum(cost, cut_cost)[deletable]])
+        order = np.lexsort((-item_size, item_cost, item_owner))
         items = m + deletions
         item_first = np.concatenate([[0], np.cumsum(items)])
         rank = np.empty(len(order), np.int64)
@@ -207,7 +216,7 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return low.astype(U) | high.astype(U) << U(32), names[local], sizes[local].astype(np.int64), role
 
 
-def _map_batch(ids: list[int | None], texts: list[str], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _map_batch(ids: list[int | None], texts: list[str], buckets: int, small: int) -> Iterator[tuple[int, int, bytes]]:
     sets, starts = shingle_sets(texts)
     sizes = np.diff(starts)
     names = set_class(sets, starts)
@@ -228,8 +237,8 @@ def _map_batch(ids: list[int | None], texts: list[str], buckets: int) -> Iterato
     key, who, role = key[order], who[order], role[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     group = np.cumsum(new) - 1
-    count = np.bincount(group)
-    hot = count[group] > SMALL
+    probes, indexed = _products(group, role)
+    hot = (probes * indexed > small)[group]
     if hot.any():
         centre = who[np.flatnonzero(new)][group]
         star = np.stack([key[hot].view(np.int64), names[who[hot]], sizes[who[hot]], role[hot].astype(np.int64), names[centre[hot]], sizes[centre[hot]]], 1)
@@ -253,8 +262,14 @@ def _base_rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in full)], names=["kind", "x", "y", "z", "w"])
 
 
-def _reduce(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, roles: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of rare signatures; stars and members of frequent ones."""
+def _products(group: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many probing and how many indexed sets each group has."""
+    n = int(group[-1]) + 1 if len(group) else 0
+    return np.bincount(group, roles & PROBE > 0, n).astype(np.int64), np.bincount(group, roles & INDEX > 0, n).astype(np.int64)
+
+
+def _reduce(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, roles: np.ndarray, most: int = SMALL) -> Iterator[pa.RecordBatch]:
+    """Pairs of rare signatures; stars and members of frequent ones.  Signatures that nothing probes are done with."""
     order = np.lexsort((names, keys))
     keys, names, sizes, roles = keys[order], names[order], sizes[order], roles[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])])
@@ -263,25 +278,29 @@ def _reduce(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, roles: np.nd
     keys, names, sizes = keys[at], names[at], sizes[at]
     start = np.concatenate([[True], keys[1:] != keys[:-1]])
     group = np.cumsum(start) - 1
-    count = np.bincount(group)
+    probes, indexed = _products(group, roles)
     hot = np.bitwise_or.reduceat(roles, np.flatnonzero(start)) & HOT > 0
-    several = (count > 1)[group]
-    keys, names, sizes, roles, group = keys[several], names[several], sizes[several], roles[several], group[several]
-    if not len(keys):
-        return
-    large = (hot | (count > SMALL))[group]
+    live = (np.bincount(group) > 1) & (probes > 0) & (indexed > 0)
+    large = live & (hot | (probes * indexed > most))
+    small = (live & ~large)[group]
     pairs = []
-    k, n, s, r = keys[~large], names[~large], sizes[~large], roles[~large]
-    for d in range(1, SMALL):
-        same = np.flatnonzero(k[d:] == k[:-d])
-        if not len(same):
-            break
-        i, j = same, same + d
-        up = (s[i] >= s[j]) & (r[i] & PROBE > 0) & (r[j] & INDEX > 0)
-        down = (s[j] >= s[i]) & (r[j] & PROBE > 0) & (r[i] & INDEX > 0)
-        fit = (up | down) & _sizes_fit(s[i], s[j])
-        pairs.append(np.stack([n[j[fit]], n[i[fit]]], 1))
-    k, n, s, r, g = keys[large], names[large], sizes[large], roles[large], group[large]
+    k, n, s, r = keys[small], names[small], sizes[small], roles[small]
+    if len(k):
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(head, len(k)))
+        g = np.repeat(np.arange(len(head)), count)
+        i = np.flatnonzero(r & INDEX > 0)
+        i_count = np.bincount(g[i], minlength=len(head))
+        i_first = np.cumsum(i_count) - i_count
+        p = np.flatnonzero(r & PROBE > 0)
+        times = i_count[g[p]]
+        left = np.repeat(p, times)
+        right = i[np.repeat(i_first[g[p]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        fit = (left != right) & (s[left] >= s[right]) & _sizes_fit(s[left], s[right])
+        x, y = n[left[fit]], n[right[fit]]
+        pairs.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+    some = large[group]
+    k, n, s, r, g = keys[some], names[some], sizes[some], roles[some], group[some]
     if len(k):
         head = np.concatenate([[True], g[1:] != g[:-1]])
         centre = np.flatnonzero(head)[np.cumsum(head) - 1]
@@ -297,7 +316,7 @@ def _reduce(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, roles: np.nd
         yield _base_rows(1, found[at, 0], found[at, 1], np.diff(np.append(at, len(found))))
 
 
-def _base_table(docs: DataFrame) -> DataFrame:
+def _base_table(docs: DataFrame, batch_docs: int, small: int) -> DataFrame:
     """Documents, candidate pairs and members of frequent signatures, written by one pass over the texts."""
     spark = docs.sparkSession
     runtime.ship(spark)
@@ -307,7 +326,7 @@ def _base_table(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids, texts):
-            rows = list(zip(*_map_batch(ids, texts, buckets), strict=True))
+            rows = list(zip(*_map_batch(ids, texts, buckets, small), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["bucket", "kind", "payload"])
 
         ids: list = []
@@ -318,7 +337,7 @@ def _base_table(docs: DataFrame) -> DataFrame:
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
-                if len(ids) >= BATCH_DOCS or held >= 6 * BATCH_WORDS:
+                if len(ids) >= batch_docs or held >= 6 * BATCH_WORDS:
                     yield flush(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
@@ -345,7 +364,7 @@ def _base_table(docs: DataFrame) -> DataFrame:
                     low, name, n, role = _unpack(payload)
                     held.append((low | U(bucket) << U(KEY_BITS), name, n, role))
         if held:
-            yield from _reduce(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from _reduce(*(np.concatenate(c) for c in zip(*held, strict=True)), small)
 
     packed = docs.select("__id", "__text").mapInArrow(scan, ROWS)
     path = runtime.new_path(spark, "ngram-base")
@@ -392,7 +411,46 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select(*pairs.columns)
 
 
-def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between different components among the sets of two blocks; one for each two components."""
+    name, n, part, minor, block = (table.column(c).to_numpy() for c in ("name", "n", "component", "minor", "block"))
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not minor.any():
+        return none
+    elements = np.concatenate([np.frombuffer(x, U) for x in table.column("elements").to_pylist()])
+    owner = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(elements, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
+    common = np.zeros((len(n), len(n)), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        some = (column >= lo) & (column < lo + 4096)
+        hold = np.zeros((len(n), 4096), np.float32)
+        hold[owner[some], column[some] - lo] = 1
+        common += hold @ hold.T
+    x, y = np.nonzero(linked(n[:, None], n[None, :], common) & (part[:, None] != part[None, :]) & (minor[:, None] | minor[None, :]))
+    up = (name[x] > name[y]) & ((block[x] != block[y]) | (table.column("i").to_numpy()[0] == table.column("j").to_numpy()[0]))
+    x, y = x[up], y[up]
+    if not len(x):
+        return none
+    ends = np.sort(np.stack([part[x], part[y]], 1), 1)
+    _, first = np.unique(ends, axis=0, return_index=True)
+    return pa.table({"a": name[x[first]], "b": name[y[first]]})
+
+
+def _between(crowds: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
+    """Links between components of one crowd (``centre``), found block by block."""
+    tally = crowds.groupBy("centre", "component").agg(F.count("*").alias("here"), F.sum("n").alias("elements"))
+    size = tally.groupBy("centre").agg(F.max(F.struct("here", "component")).alias("top"), F.count("*").alias("parts"), F.sum("here").alias("members"), F.sum("elements").alias("elements")).where("parts > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / block_sets, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    placed = crowds.join(size.select("centre", F.col("top.component").alias("main"), blocks.alias("blocks")), "centre")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "n", "component", (F.col("component") != F.col("main")).alias("minor"))
+    return rows.join(sets, "name").groupBy("centre", "i", "j").applyInArrow(_block_links, "a long, b long")
+
+
+def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_docs: int = BATCH_DOCS, small: int = SMALL, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links.
 
     Null text has no words and links with nothing; a null id takes part in links and is never the least; equal texts are
@@ -401,10 +459,10 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
-    base = _base_table(source)
+    base = _base_table(source, batch_docs, small)
     rows = base.where("kind = 0").select(F.when(F.col("w") == 0, F.col("x")).alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("name"))
     pairs = runtime.materialize(base.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("seen")), "ngram-pairs")
-    members = base.where("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("name"), (F.col("z") / 8).cast("long").alias("n"), F.col("z").bitwiseAND(F.lit(3)).alias("role"))
+    members = base.where("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("name"), F.expr("z div 8").alias("n"), F.col("w").alias("centre"))
     ends = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).union(members.select("name")).distinct()
     wanted = runtime.materialize(rows.join(ends, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("__wanted")).select("__wanted").distinct(), "ngram-wanted")
     sets = runtime.materialize(_sets_of(source, wanted), "ngram-sets")
@@ -423,18 +481,12 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     if not members.isEmpty():
         named = members.join(label.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        named = runtime.materialize(named.distinct(), "ngram-members")
-        tally = named.groupBy("key", "component").agg(F.count("*").alias("n_here"))
-        widest = tally.groupBy("key").agg(F.max(F.struct("n_here", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("main"))
-        minor = named.join(widest, "key").where("component <> main").select("key", *(F.col(c).alias("m_" + c) for c in ("name", "n", "role", "component")))
-        met = minor.join(named, "key").where("component <> m_component and 5 * n >= 4 * m_n and 5 * m_n >= 4 * n")
-        met = met.where(f"(n >= m_n and role & {PROBE} > 0 and m_role & {INDEX} > 0) or (m_n >= n and m_role & {PROBE} > 0 and role & {INDEX} > 0)")
-        late = met.select(F.greatest("name", "m_name").alias("a"), F.least("name", "m_name").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        late = runtime.materialize(late, "ngram-late")
-        if not late.isEmpty():
-            more = runtime.materialize(_verify(late, sets), "ngram-links")
-            if not more.isEmpty():
-                label = components(links.union(more))
+        # a batch's star has a centre of its own; all members of a signature belong to the least one
+        heads = members.groupBy("key").agg(F.min("centre").alias("head"))
+        crowds = runtime.materialize(named.join(heads, "key").select(F.col("head").alias("centre"), "name", "n", "component").distinct(), "ngram-crowds")
+        more = runtime.materialize(_between(crowds, sets, block_sets), "ngram-links")
+        if not more.isEmpty():
+            label = components(links.union(more))
 
     group = F.coalesce(F.col("component"), F.col("name"))
     named = rows.join(label.select(F.col("node").alias("name"), "component"), "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, group).alias("__group"))
