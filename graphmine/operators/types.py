@@ -58,8 +58,9 @@ def type_sources_difference(adj: DataFrame, one: EdgeType, two: EdgeType) -> Dat
     return sources_with_edge(adj, one).subtract(sources_with_edge(adj, two))
 
 
-def collect_types(types: DataFrame) -> list[EdgeType]:
-    rows = types.select(*TYPE).limit(MOST_TYPES + 1).collect()
+def collect_types(types: DataFrame) -> dict[EdgeType, int]:
+    """Frequent types with their supports, on the driver."""
+    rows = types.select(*TYPE, "support").limit(MOST_TYPES + 1).collect()
     if len(rows) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} frequent edge types; raise min_support")
-    return sorted(EdgeType(*r) for r in rows)
+    return {EdgeType(*r[:4]): r[4] for r in sorted(rows)}

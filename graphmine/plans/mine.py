@@ -15,12 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmine.functions.pattern import Code, Edge, extensions, orbits, seeds, text, vertex_labels
+from graphmine.functions.pattern import Code, EdgeType, extensions, orbits, seeds, text, vertex_labels
 from graphmine.operators import match
-from graphmine.operators.types import canonical_seeds, collect_types, edge_type_support, frequent_adjacency, frequent_edge_types
-from graphmine.sources.graph import TYPE
+from graphmine.operators.types import collect_types, frequent_adjacency, frequent_edge_types
 
 log = logging.getLogger(__name__)
+TYPE_ROW = "src_label int, edge_label int, dst_label int, dir byte"
 PATTERN = "n_edges int, n_vertices int, code string, support long, edges array<struct<i:int,j:int,il:int,el:int,jl:int,d:int>>"
 
 
@@ -39,10 +39,9 @@ def _skeleton(code: Code) -> tuple:
     return tuple((e.i, e.j, e.d) for e in code)
 
 
-def frequent_one_edge(adj: DataFrame, min_support: int) -> dict[Code, int]:
+def one_edge_codes(types: dict[EdgeType, int]) -> dict[Code, int]:
     """Canonical one-edge codes with their supports."""
-    rows = canonical_seeds(edge_type_support(adj)).where(F.col("support") >= min_support).select(*TYPE, "support").collect()
-    return {(Edge(0, 1, r[0], r[1], r[2], r[3]),): r[4] for r in rows}
+    return {c: types[EdgeType(c[0].il, c[0].el, c[0].jl, c[0].d)] for c in seeds(types)}
 
 
 def mine_codes(adj: DataFrame, min_support: int, max_edges: int = 100, progress: Callable[[int, int], None] | None = None) -> dict[Code, int]:
@@ -52,11 +51,11 @@ def mine_codes(adj: DataFrame, min_support: int, max_edges: int = 100, progress:
     if max_edges < 1:
         raise ValueError("max_edges must be positive")
     spark = adj.sparkSession
-    found = frequent_one_edge(adj, min_support)
+    types = collect_types(frequent_edge_types(adj, min_support))
+    found = one_edge_codes(types)
     if max_edges == 1 or not found:
         return found
-    types = collect_types(frequent_edge_types(adj, min_support))
-    edges = frequent_adjacency(adj, frequent_edge_types(adj, min_support)).persist()
+    edges = frequent_adjacency(adj, spark.createDataFrame(list(types), TYPE_ROW)).persist()
     plain = one_label_each(edges)
     level = {c: s for c, s in found.items()}
     tables: dict[tuple, tuple[DataFrame, dict[Code, int]]] = {}
