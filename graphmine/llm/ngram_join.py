@@ -14,8 +14,7 @@ Signatures travel as packed arrays.  A signature of up to ``SMALL`` pairs gives
 star around its least set (in the map batch first, so that a hot group leaves each batch as one row) and the list of
 its members.  Pairs are verified on the exact sets, best partner first; pairs inside one component are
 not tried again.  Members of frequent signatures that stay in different components are compared in blocks: crowds
-with one centre are cut into blocks of bounded size, and each two blocks are one task's sets, compared by one matrix
-product of which links alone come out.
+with one centre are cut into blocks of bounded size, and the bitmaps of each two blocks meet in one task, where their differences rule out nearly all that don't link.
 """
 
 from __future__ import annotations
@@ -30,19 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmine.llm import runtime
-from graphmine.llm.bpe_automaton import Kept
 from graphmine.llm.components import components
+from graphmine.llm.kept import Kept, sole
 
 WORDS = 5
 U = np.uint64
 #: Documented parameters: spare weight of a band in hundredths (segments, deletions); most pairs of a signature that
 #: are written outright; documents and words of a map batch; text bytes for each partition of signatures.
-SPARE, DELETIONS, SMALL = 5, 6, 1024
-BATCH_DOCS, BATCH_WORDS, PARTITION_BYTES = 2000, 800_000, 8_000_000
+SPARE, DELETIONS, SMALL = 5, 6, 64
+BATCH_DOCS, BATCH_WORDS, PARTITION_BYTES = 2000, 600_000, 8_000_000
 #: Members and set elements that a block of a crowd is aimed at.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 BUCKETS_PER_PARTITION = 2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 _NEVER = 1 << 40
 INDEX, PROBE, HOT = 1, 2, 4
 
@@ -73,17 +72,12 @@ def band_segments(limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return need + need * SPARE // 100 + 1, need * DELETIONS // 100 + 1
 
 
-_word_hash: dict[int, Kept] = {}
-
-
 def shingle_sets(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and where each text's begin (one more at the end).
 
     A text of fewer than ``n`` words is one shingle, the whole sequence; without words it is empty.
     """
-    if 0 not in _word_hash:
-        _word_hash[0] = Kept(xxhash.xxh3_64_intdigest, CACHED_WORDS)
-    look = _word_hash[0].__getitem__
+    look = sole("word hashes", lambda: Kept(xxhash.xxh3_64_intdigest, CACHED_WORDS)).__getitem__
     parts = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
     w = np.fromiter((x for p in parts for x in map(look, p)), U, int(counts.sum()))
@@ -184,6 +178,48 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out]).astype(np.uint8)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Counts of a set's elements in equal ranges of the hash space, a power of two of them, about two elements each (255 at most)."""
+    bits = max(3, (len(elements) // 2).bit_length())
+    return np.minimum(np.bincount((elements >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Elements that two sets differ in at least, from their sketches: counts that differ belong to different elements."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) != len(b):
+        small, large = (a, b) if len(a) < len(b) else (b, a)
+        if 255 in large:
+            return 0
+        a, b = small, np.minimum(large.reshape(len(small), -1).sum(1), 255)
+    return int(np.abs(a - b).sum())
+
+
+def bitmap(elements: np.ndarray) -> bytes:
+    """Which of equal ranges of the hash space a set has elements in; about eight ranges, a power of two, for an element."""
+    bits = max(6, (len(elements) - 1).bit_length() + 3)
+    held = np.zeros(1 << bits, bool)
+    held[(elements >> U(64 - bits)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
+def least_differences(bitmaps: list[bytes]) -> np.ndarray:
+    """Elements that each two sets differ in at least: ranges that one has elements in and the other has none.
+
+    Longer bitmaps are folded to the shortest, two ranges to one.
+    """
+    width = min(map(len, bitmaps))
+    rows = []
+    for x in bitmaps:
+        held = np.unpackbits(np.frombuffer(x, np.uint8))
+        rows.append(np.packbits(held.reshape(8 * width, -1).any(1)))
+    table = np.ascontiguousarray(np.stack(rows)).view(U)
+    out = np.zeros((len(rows), len(rows)), np.int32)
+    for k in range(len(rows)):
+        out[k] = np.bitwise_count(table ^ table[k]).sum(1)
+    return out
+
+
 def linked(n_a, n_b, common):
     """100 * common >= 80 * union."""
     return 100 * common >= 80 * (n_a + n_b - common)
@@ -373,7 +409,7 @@ def _base_table(docs: DataFrame, batch_docs: int, small: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``name`` and ``elements`` of the sets of the documents in ``wanted`` (column ``__id``)."""
+    """``name, n, sketch, bits`` and ``elements`` of the sets of the documents in ``wanted`` (column ``__wanted``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,14 +418,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets, starts = shingle_sets(texts[k : k + 500])
                 names = set_class(sets, starts)
                 cut = starts.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sets[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["name", "elements"])
+                each = [sets[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(starts)), pa.array([sketch(x) for x in each], pa.binary()), pa.array([bitmap(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["name", "n", "sketch", "bits", "elements"])
 
     some = docs.join(wanted, docs["__id"].eqNullSafe(wanted["__wanted"]), "left_semi")
-    return some.select("__text").mapInArrow(run, "name long, elements binary")
+    return some.select("__text").mapInArrow(run, "name long, n long, sketch binary, bits binary, elements binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link."""
+def _both_ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    left = sets.select(F.col("name").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = sets.select(F.col("name").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", *(f"{c}_{e}" for c in columns for e in "ab"))
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link, by their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,9 +443,19 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(linked(len(x), len(y), int((both[1:] == both[:-1]).sum())))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = sets.select(F.col("name").alias("a"), F.col("elements").alias("__x"))
-    right = sets.select(F.col("name").alias("b"), F.col("elements").alias("__y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "__x", "__y").mapInArrow(run, "a long, b long").distinct()
+    return _both_ends(pairs, sets, "elements").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link: sketches rule most others out, the sets themselves decide on the rest."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            least = np.fromiter(map(least_difference, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, len(n))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(9 * least <= n)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return _exact(runtime.materialize(_both_ends(pairs, sets, "n", "sketch").mapInArrow(near, "a long, b long"), "ngram-near"), sets)
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -411,35 +464,20 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select(*pairs.columns)
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links between different components among the sets of two blocks; one for each two components."""
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of different components among the sets of two blocks that their bitmaps don't rule out."""
     name, n, part, minor, block = (table.column(c).to_numpy() for c in ("name", "n", "component", "minor", "block"))
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not minor.any():
-        return none
-    elements = np.concatenate([np.frombuffer(x, U) for x in table.column("elements").to_pylist()])
-    owner = np.repeat(np.arange(len(n)), n)
-    _, column, times = np.unique(elements, return_inverse=True, return_counts=True)
-    shared = times > 1
-    column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
-    common = np.zeros((len(n), len(n)), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        some = (column >= lo) & (column < lo + 4096)
-        hold = np.zeros((len(n), 4096), np.float32)
-        hold[owner[some], column[some] - lo] = 1
-        common += hold @ hold.T
-    x, y = np.nonzero(linked(n[:, None], n[None, :], common) & (part[:, None] != part[None, :]) & (minor[:, None] | minor[None, :]))
-    up = (name[x] > name[y]) & ((block[x] != block[y]) | (table.column("i").to_numpy()[0] == table.column("j").to_numpy()[0]))
-    x, y = x[up], y[up]
-    if not len(x):
-        return none
-    ends = np.sort(np.stack([part[x], part[y]], 1), 1)
-    _, first = np.unique(ends, axis=0, return_index=True)
-    return pa.table({"a": name[x[first]], "b": name[y[first]]})
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    least = least_differences(table.column("bits").to_pylist())
+    alone = table.column("i").to_numpy()[0] == table.column("j").to_numpy()[0]
+    near = (9 * least <= n[:, None] + n[None, :]) & (part[:, None] != part[None, :]) & (minor[:, None] | minor[None, :]) & (name[:, None] > name[None, :]) & (alone | (block[:, None] != block[None, :]))
+    x, y = np.nonzero(near)
+    return pa.table({"a": name[x], "b": name[y]})
 
 
 def _between(crowds: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
-    """Links between components of one crowd (``centre``), found block by block."""
+    """Links between components of one crowd (``centre``): pairs found block by block, then verified."""
     tally = crowds.groupBy("centre", "component").agg(F.count("*").alias("here"), F.sum("n").alias("elements"))
     size = tally.groupBy("centre").agg(F.max(F.struct("here", "component")).alias("top"), F.count("*").alias("parts"), F.sum("here").alias("members"), F.sum("elements").alias("elements")).where("parts > 1")
     blocks = F.ceil(F.greatest(F.col("members") / block_sets, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
@@ -447,7 +485,8 @@ def _between(crowds: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = dealt.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "n", "component", (F.col("component") != F.col("main")).alias("minor"))
-    return rows.join(sets, "name").groupBy("centre", "i", "j").applyInArrow(_block_links, "a long, b long")
+    near = rows.join(sets.select("name", "bits"), "name").groupBy("centre", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
+    return _exact(runtime.materialize(near, "ngram-near"), sets)
 
 
 def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_docs: int = BATCH_DOCS, small: int = SMALL, block_sets: int = BLOCK_SETS) -> DataFrame:

@@ -88,6 +88,7 @@ def test_sketches_never_exceed_the_difference():
         x, y = (np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1, 700)), dtype=np.uint64) * np.uint64(2)) for _ in range(2))
         y = np.unique(np.concatenate([y, x[: int(rnd.integers(0, len(x)))]]))
         assert ngram_join.least_difference(ngram_join.sketch(x), ngram_join.sketch(y)) <= len(np.setxor1d(x, y))
+        assert ngram_join.least_differences([ngram_join.bitmap(x), ngram_join.bitmap(y)])[0, 1] <= len(np.setxor1d(x, y))
 
 
 def brute_drops(rows):
