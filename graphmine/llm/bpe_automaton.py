@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmine.llm import runtime
+from graphmine.llm.kept import Kept, sole
 
 #: Cells of the transition table and words that a worker keeps; beyond it they are computed again.
 TABLE_CELLS = 2_000_000
-CACHED_CHUNKS = 400_000
-CACHED_SPELLINGS = 400_000
+CACHED_CHUNKS = 250_000
+CACHED_SPELLINGS = 300_000
 
 #: The pre-tokenizer's pattern, white space of Unicode, and the byte values written as themselves.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -139,20 +140,6 @@ class MergeAutomaton:
             stop = min(n, at + limit.get(word[at], 1))
 
 
-class Kept(dict):
-    """What ``make`` gives for a key, kept for the first ``most`` keys."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < self.most:
-            self[key] = value
-        return value
-
-
 class Codec:
     """Text to ids and back for one tokenizer file (BPE over byte letters with an end-of-word suffix)."""
 
@@ -236,16 +223,9 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(spec: str) -> Codec:
     """The compiled codec of a tokenizer file's content, one per worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(json.loads(spec))
-    return _codecs[key]
+    return sole(("codec", spec), lambda: Codec(json.loads(spec)))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmine.llm import runtime
-from graphmine.llm.bpe_automaton import Kept
+from graphmine.llm.kept import Kept, sole
 from graphmine.llm.ngram_join import mix
 
 U = np.uint64
@@ -32,7 +32,7 @@ SEED_BITS, LEAST_SEED, MOST_SEED, BLOCK_BYTES = 26.0, 2, 8, 8_000_000
 #: Scores of the alignment; share of an item's best score, and matched words (or all of a shorter item), that make a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SHARE, LEAST_MATCHED = 0.4, 8
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…–—"
 
 
@@ -42,12 +42,9 @@ def _name(word: str) -> int:
     return (xxhash.xxh3_64_intdigest(bare) >> 1 | 1) if bare else 0
 
 
-_names = Kept(_name, CACHED_WORDS)
-
-
 def names_of(text: str) -> np.ndarray:
     words = text.lower().split()
-    out = np.fromiter(map(_names.__getitem__, words), U, len(words))
+    out = np.fromiter(map(sole("word names", lambda: Kept(_name, CACHED_WORDS)).__getitem__, words), U, len(words))
     return out[out > 0] if len(out) and not out.all() else out
 
 

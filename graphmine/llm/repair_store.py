@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from graphmine.llm import runtime
 from graphmine.llm.bpe_automaton import Codec
+from graphmine.llm.kept import sole
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
@@ -224,15 +225,9 @@ class LibraryIds:
         return b"".join(out), [len(x) // 2 for x in out]
 
 
-_libraries: dict[str, LibraryIds] = {}
-
-
 def library_ids(spec: str) -> LibraryIds:
     """The tokenizer of a file's content, one per worker; what it knows outlives a task."""
-    if spec not in _libraries:
-        _libraries.clear()
-        _libraries[spec] = LibraryIds(spec, CACHED)
-    return _libraries[spec]
+    return sole(("library", spec), lambda: LibraryIds(spec, CACHED))
 
 
 BLOCK = "part int, block int, n_docs long, n_ids long, payload binary"

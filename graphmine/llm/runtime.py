@@ -14,9 +14,16 @@ _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
 
+#: Bytes of a batch that goes to a Python worker at once, unless the session says otherwise: long texts make small batches.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application (files go through Spark's file server)."""
+    """Make this package importable in Python workers, once per application (files go through Spark's file server), and bound their batches."""
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     if app in _shipped:
         return
     path = os.path.join(tempfile.mkdtemp(), "graphmine_code.zip")
