@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmine.llm import runtime
+from graphmine.llm.kept import sole
 
 #: Fixed values of the base rules: symbols that are counted, least words, and most repeated words in a hundred.
 SYMBOLS = "#*$%&|<>"
@@ -32,10 +33,13 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 CPT_RANGES, CPT_SHARE = 6.0, 0.15
 BYTE_RANGES, BYTE_LEAST = 10.0, 0.05
 ENTROPY_RANGES, ENTROPY_SHARE = 5.0, 0.25
+#: Documented parameters: words below which bands are wider, and words for each width more.
+SHORT, SHORT_STEP = 150, 80
 #: Entropy is measured against the most that so many tokens can have.
 ENTROPY_TOKENS = 1024
 BIN, MOST_BIN = 0.002, 32_000
-CACHED = 400_000
+#: Runs that a worker keeps, documents measured at once.
+CACHED, SLICE = 200_000, 500
 WHITE = " \t\n\r\x0b\x0c"
 
 MEASURES = {"cpt_piece": "double", "cpt_byte": "double", "byte_share": "double", "entropy": "double"}
@@ -114,9 +118,6 @@ class Meter:
         return out
 
 
-_meters: dict[int, Meter] = {}
-
-
 def measure(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, text: str = "text", prefix: str = "__q_") -> DataFrame:
     """All columns of ``docs`` plus, under ``prefix``, the base counts and the measures of every whole text (null: empty)."""
     spark = docs.sparkSession
@@ -127,12 +128,11 @@ def measure(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, te
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if 0 not in _meters:
-            _meters[0] = Meter(*files.value)
-        for batch in batches:
+        meter = sole("meter", lambda: Meter(*files.value))
+        for batch in (big.slice(k, SLICE) for big in batches for k in range(0, big.num_rows, SLICE)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             base = list(zip(*map(base_counts, texts), strict=True)) or [[]] * len(BASE)
-            rates = list(zip(*_meters[0].measure(texts), strict=True)) or [[]] * len(MEASURES)
+            rates = list(zip(*meter.measure(texts), strict=True)) or [[]] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in base), *(pa.array(x, pa.float64()) for x in rates)], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -162,10 +162,10 @@ def bands(measured: DataFrame, prefix: str = "__q_") -> DataFrame:
     wide = lambda k, ranges, share: F.greatest(ranges * (F.col(k + "_hi") - F.col(k + "_lo")), share * F.col(k + "_mid"))
     return marks.select(
         F.col("group").alias("__group"),
-        *(x for k in ("cpt_piece", "cpt_byte") for x in ((F.col(k + "_mid") - wide(k, CPT_RANGES, CPT_SHARE)).alias(f"__{k}_min"), (F.col(k + "_mid") + wide(k, CPT_RANGES, CPT_SHARE)).alias(f"__{k}_max"))),
-        (F.col("byte_share_hi") + F.greatest(BYTE_RANGES * (F.col("byte_share_hi") - F.col("byte_share_lo")), F.lit(BYTE_LEAST))).alias("__byte_share_max"),
-        (F.col("entropy_mid") - wide("entropy", ENTROPY_RANGES, ENTROPY_SHARE)).alias("__entropy_min"),
-    )
+        *(x for k in ("cpt_piece", "cpt_byte") for x in (F.col(k + "_mid").alias(f"__{k}_mid"), wide(k, CPT_RANGES, CPT_SHARE).alias(f"__{k}_wide"))),
+        F.col("byte_share_hi").alias("__byte_share_mid"), F.greatest(BYTE_RANGES * (F.col("byte_share_hi") - F.col("byte_share_lo")), F.lit(BYTE_LEAST)).alias("__byte_share_wide"),
+        F.col("entropy_mid").alias("__entropy_mid"), wide("entropy", ENTROPY_RANGES, ENTROPY_SHARE).alias("__entropy_wide"),
+    )
 
 
 def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
@@ -182,10 +182,8 @@ def judge(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, carr
     source = table.withColumnRenamed("__q_lang", "lang") if extra else table
     limits = bands(source)
     joined = source.withColumn("__group", language_group(source)).join(F.broadcast(limits), "__group", "left")
-    inside = (
-        F.col("__q_cpt_piece").between(F.col("__cpt_piece_min"), F.col("__cpt_piece_max"))
-        & F.col("__q_cpt_byte").between(F.col("__cpt_byte_min"), F.col("__cpt_byte_max"))
-        & (F.col("__q_byte_share") <= F.col("__byte_share_max"))
-        & (F.col("__q_entropy") >= F.col("__entropy_min"))
-    )
+    # rates of short texts scatter: a band grows by its width for every SHORT_STEP words below SHORT
+    room = 1 + F.greatest(F.lit(0.0), (SHORT - F.col("__q_n_words")) / SHORT_STEP)
+    off = lambda k: (F.col(f"__q_{k}") - F.col(f"__{k}_mid")) / (room * F.col(f"__{k}_wide"))
+    inside = (F.abs(off("cpt_piece")) <= 1) & (F.abs(off("cpt_byte")) <= 1) & (off("byte_share") <= 1) & (off("entropy") >= -1)
     return joined.select(*wanted, *("__q_" + k for k in (*BASE, *MEASURES)), base_failed().alias("__q_base_failed"), (~base_failed() & F.coalesce(inside, F.lit(False))).alias("__q_kept"))
