@@ -29,6 +29,8 @@ LN10 = math.log(10)
 #: Documented parameters: rounds of expectation maximisation, weight of the first probabilities in tokens, most words that
 #: are broadcast, words of a batch of the recursion.
 ROUNDS, PRIOR_TOKENS, HEAD_WORDS, WORD_BATCH = 3, 1000.0, 300_000, 100_000
+#: Other words whose scores a task knows before it starts anew.
+RARE_WORDS = 250_000
 #: Fixed values of the base model: its smoothing, and the part of ids that is held out.
 SMOOTHING, FOLDS = 0.1, 10
 #: Expected counts are added up as whole numbers of this unit, so that their sum has one value in any order.
@@ -98,7 +100,7 @@ class Lattice:
             ends.append(end)
             found.append(ids[k[hit]])
         start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, found))
-        order = np.lexsort((end, place[end]))
+        order = np.argsort(place[end] * np.int64(nodes) + end)
         return start[order], end[order], piece[order], first, first + sizes
 
     def _sweep(self, nodes: int, source: np.ndarray, target: np.ndarray, weight: np.ndarray, step: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -140,7 +142,7 @@ class Lattice:
             weight, nodes = log_p[piece], int(last[-1]) + 1
             alpha = self._sweep(nodes, start, end, weight, end - first[word], first)
             ahead = last[word] - start
-            order = np.lexsort((start, ahead))
+            order = np.argsort(ahead * np.int64(nodes) + start)
             beta = self._sweep(nodes, end[order], start[order], weight[order], ahead[order], last)
             share = np.exp(alpha[start] + weight + beta[end] - alpha[last][word])
             out += np.bincount(piece, share * counts[k : k + WORD_BATCH][word], self.size)
@@ -291,17 +293,20 @@ def score(docs: DataFrame, piece_model: str, head_words: int = HEAD_WORDS) -> Da
         base = np.append(m.base(c), 0.0)
         own = np.append(net.forward([b" " + w for w in known], m.log_p), 0.0)
         end_base, end_known = float(m.base(m.ends)), int(m.ends > 0)
+        rare: dict[bytes, float] = {}
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo in range(0, len(texts), 2000):
                 parts = [words_of(t) for t in texts[lo : lo + 2000]]
-                rare = {w: k for k, w in enumerate(set().union(*parts).difference(place))}
-                rare_own = net.forward([b" " + w for w in rare], m.log_p)
+                if len(rare) > RARE_WORDS:
+                    rare.clear()
+                new = list(set().union(*parts).difference(place, rare))
+                rare.update(zip(new, net.forward([b" " + w for w in new], m.log_p).tolist(), strict=True))
                 rows = []
                 for ps in parts:
                     at = np.fromiter(map(place.get, ps, [-1] * len(ps)), np.int64, len(ps))
                     miss = Counter(ps[k] for k in np.flatnonzero(at < 0).tolist())
-                    value = float(own[at].sum()) + sum(n * rare_own[rare[w]] for w, n in miss.items()) + m.log_end
+                    value = float(own[at].sum()) + sum(n * rare[w] for w, n in miss.items()) + m.log_end
                     rows.append((len(ps) + 1, int((at >= 0).sum()) + end_known, float(base[at].sum()) + end_base, value / LN10, list(miss), list(miss.values())))
                 cut = [batch.column(k).slice(lo, len(rows)) for k in (0, 1)]
                 cols = list(zip(*rows, strict=True))
