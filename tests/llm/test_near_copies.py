@@ -136,6 +136,18 @@ def test_lines_against_brute_force(spark):
     assert as_rows(got, "doc_id", "text") == want
 
 
+@pytest.mark.parametrize("length", [9, 12, 13, 40, 200])
+def test_near_lines_without_spaces_meet(spark, length):
+    rnd = random.Random(length)
+    pairs = []
+    for _ in range(300):
+        line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz的一是不了") for _ in range(length))
+        pairs.append((line, line + "!" if length < 40 else "?" + line[1:]))
+    rows = [(k, t) for k, t in enumerate(x for p in pairs for x in p)]
+    done = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("__dropped = 1").collect()
+    assert all(r.doc_id % 2 for r in done) and len(done) >= 297
+
+
 def test_lines_of_awkward_rows(docs, clashing, empty):
     done = line_dedup.dedup(clashing)
     assert done.columns == [*clashing.columns, "__lines", "__dropped"] and done.count() == docs.count()
