@@ -1,14 +1,15 @@
 """Secret scans: base patterns, and zstandard novelty of strings in sensitive contexts.
 
-A candidate is a long token of key letters behind a sensitive word.  Its novelty is what it adds to the compressed
+A candidate is a long token of key letters, of any case and kind, behind a sensitive word.  Its novelty is what it adds to the compressed
 size of its surroundings: a compressor is primed with a dictionary of identifiers and the text around the
-candidate, and the bytes with the candidate less the bytes without it are its marginal size.  A string that the
+candidate without its other copies, and the bytes with the candidate less the bytes without it are its marginal size.  A string that the
 dictionary or the text explains costs little; a random one costs nearly its entropy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ IDENTIFIERS = (
 )
 #: Documented parameters: characters around a candidate, reach of a sensitive word, least marginal bytes per character.
 AROUND, REACH, NOVELTY = 400, 48, 0.6
+#: Documented parameters: letters of a word that counts, the longest looked up, and the part of a candidate in words that makes it no key (of 12,000 random strings of one case 2 have it).
+LEAST_WORD, LONGEST_WORD, WORDED = 4, 16, 0.5
 
 _prefix = IDENTIFIERS.encode()
 
@@ -59,12 +62,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def mixed(candidate: str) -> bool:
-    """Letters and digits, or both cases inside: words alone are no keys."""
-    return any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate) or not (candidate[1:].islower() or candidate.isupper()) and any(c.isupper() for c in candidate[1:])
+def vocabulary_words(path: str) -> frozenset[str]:
+    """Words of a public vocabulary, in lower case."""
+    pieces = (p.removesuffix("</w>").lower() for p in json.load(open(path, encoding="utf-8"))["model"]["vocab"])
+    return frozenset(p for p in pieces if LEAST_WORD <= len(p) <= LONGEST_WORD and p.isascii() and p.isalpha())
 
 
-def novel_spans(text: str, low: str) -> list[tuple[int, int, int]]:
+def worded(candidate: str, words: frozenset[str]) -> bool:
+    """Of one case without digits, and made of words of a public vocabulary: in so short a text all letters cost the compressor the same."""
+    if any(c.isdigit() for c in candidate) or not (candidate[1:].islower() or candidate.isupper()):
+        return False
+    low, at, known = candidate.lower(), 0, 0
+    while at < len(low):
+        size = next((k for k in range(min(LONGEST_WORD, len(low) - at), LEAST_WORD - 1, -1) if low[at : at + k] in words), 0)
+        known += size
+        at += size or 1
+    return known >= WORDED * len(low)
+
+
+def novel_spans(text: str, low: str, words: frozenset[str]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose marginal size says that nothing around explains them."""
     if not any(w in low for w in FIRST_LETTERS):
         return []
@@ -80,10 +96,13 @@ def novel_spans(text: str, low: str) -> list[tuple[int, int, int]]:
                 continue
             last = start
             found = text[start:end]
-            if not mixed(found):
+            if worded(found, words):
                 continue
-            before = text[max(0, start - AROUND) : start]
-            if marginal_bytes(before, found, text[end : end + AROUND]) >= NOVELTY * len(found):
+            # a copy of the candidate nearby must not explain it; one cut by the reach's end is blanked whole
+            reach = AROUND + len(found)
+            before = text[max(0, start - reach) : start].replace(found, " ")[-AROUND:]
+            after = text[end : end + reach].replace(found, " ")[:AROUND]
+            if marginal_bytes(before, found, after) >= NOVELTY * len(found):
                 out.append((start, 3, end))
     return out
 
@@ -95,20 +114,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per document the base counts, a digest of the base spans, and all spans (code points, end exclusive).
 
     Null text is empty: no spans, and the digest of an empty string.  Rows with equal or null ids are each scanned.
+    ``vocabulary`` is a public tokenizer file, the word BPE unless given.
     """
+    from graphmine.llm.queries import tokenizer
+
     spark = docs.sparkSession
     runtime.ship(spark)
+    words = spark.sparkContext.broadcast(vocabulary_words(vocabulary or tokenizer("word_bpe_49k.json")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
-                every = sorted([*base, *novel_spans(text, text.lower())])
+                every = sorted([*base, *novel_spans(text, text.lower(), words.value)])
                 kinds = [k for _, k, _ in every]
                 rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6

@@ -210,3 +210,15 @@ def test_known_strings_are_not_novel():
     key = "Zx81kQ9mW2vL0pT7cR5bN3yH6jF4dS8a"
     assert zstd_secrets.marginal_bytes("token ", key, " end") > 0.7 * len(key)
     assert zstd_secrets.marginal_bytes(f"seen {key} before, token ", key, " end") < 0.4 * len(key)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+@pytest.mark.parametrize("copies", [1, 2])
+def test_random_strings_of_any_letters_are_novel(letters, copies):
+    rnd, words = random.Random(len(letters)), zstd_secrets.vocabulary_words(tokenizer("word_bpe_49k.json"))
+    found = 0
+    for k in range(150):
+        key = "".join(rnd.choice(letters) for _ in range((20, 32, 40)[k % 3]))
+        text = " and then ".join([f"send bearer {key} with it"] * copies)
+        found += len(zstd_secrets.novel_spans(text, text.lower(), words)) == copies
+    assert found >= 148
