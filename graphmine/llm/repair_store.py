@@ -2,7 +2,7 @@
 
 A shard holds whole documents.  Frequent id pairs are replaced by nonterminals, round by round: each round counts all
 pairs of the shard, takes the frequent ones, most frequent first, such that no symbol is the right part of one and
-the left part of another (so that occurrences cannot overlap), and replaces them all.  The shard stores the rules, the
+the left part of another (so that occurrences cannot overlap), and replaces them all, until no pair is frequent or the symbols run out.  The shard stores the rules, the
 expansion length of each rule and of each document, and the remaining sequence; symbols fit in 16 bits.
 
 Payload, little endian: magic ``RPG1``; u32 counts of documents, rules, symbols, and the first nonterminal; i64
@@ -12,6 +12,7 @@ lengths of the rules; u16 symbols.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -32,8 +33,8 @@ from graphmine.llm.kept import sole
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
-#: Documented parameters of the format: ids a shard closes at, most rounds, and the least count and gain that pay.
-SHARD_IDS, ROUNDS, LEAST_COUNT, LEAST_GAIN = 1 << 20, 3, 6, 0.02
+#: Documented parameters of the format: ids a shard closes at, and the least count that pays.
+SHARD_IDS, LEAST_COUNT = 1 << 20, 6
 PICKED = 4096
 HASH_BITS = 19
 
@@ -74,10 +75,10 @@ def _choose(keys: np.ndarray, least: int, room: int) -> np.ndarray:
     return np.array(picked, np.uint32)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols, in order from symbol ``first`` on) and the remaining sequence of ``ids``."""
+def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols, in order from symbol ``first`` on) and the remaining sequence of ``ids``; without ``rounds`` until no pair occurs ``least`` times or the symbols run out."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         room = SYMBOLS - first - len(rules)
         if len(seq) < 2 * least or room <= 0:
             break
@@ -100,11 +101,8 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         seq[at] = (rule + (first + len(rules))).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        before = len(seq)
         seq = seq[stay]
         rules = np.concatenate([rules, np.stack([picked >> np.uint32(16), picked & np.uint32(0xFFFF)], 1)])
-        if before - len(seq) < LEAST_GAIN * before:
-            break
     return rules.astype(np.uint16), seq.astype(np.uint16)
 
 

@@ -110,6 +110,16 @@ def test_store(spark, docs, rows, library, shard_ids):
     assert (spark.read.parquet(path).count() > 20) == (shard_ids == 50)
 
 
+def test_repeated_passages_shrink_to_a_symbol():
+    rnd = np.random.default_rng(1)
+    passage = rnd.integers(0, 40_000, 50)
+    ids = np.concatenate([np.concatenate([passage, rnd.integers(0, 40_000, 5)]) for _ in range(1000)]).astype(np.uint16)
+    rules, seq = store.compress(ids, 49_408)
+    assert len(seq) == 6000 and store.lengths(rules, 49_408).max() == 50
+    shard = store.Shard(store.pack([1], [len(ids)], ids, 49_408))
+    assert np.array_equal(shard.ids(), ids)
+
+
 def test_store_of_nothing(spark, empty):
     path = runtime.new_path(spark, "test-store")
     store.write_store(empty, PATH, path, end_id=2)
