@@ -38,19 +38,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none, a local master gets a temporary folder (tests) and any other master a folder
-    in the warehouse, which is shared as well.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder in the warehouse (shared as well) where the session has none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if conf.get("spark.master", "local").startswith("local") and "local-cluster" not in conf.get("spark.master", ""):
-        made = os.path.join(tempfile.gettempdir(), f"graphmine-{spark.sparkContext.applicationId}")
-        os.makedirs(made, exist_ok=True)
-        return f"file://{made}"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/graphmine-shared"
 
 
@@ -66,15 +57,16 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
-    """Delete written tables of finished rounds (only paths below the shared folder)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def drop_tables(frames: Iterable[DataFrame]) -> None:
+    """Delete the written tables that ``frames`` read, if they are below the shared folder; no frame over them can be used afterwards."""
     for df in frames:
-        tops = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for top in tops:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        shared = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+            if path.toUri().getPath().startswith(shared + "/"):
+                path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

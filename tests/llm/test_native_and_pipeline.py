@@ -70,7 +70,7 @@ def test_quotes(spark):
 def test_no_python_in_native_plans(docs, spark):
     from graphmine.llm import line_dedup
 
-    frames = [hilbert_shards.assign_documents(docs), line_dedup.dedup(docs), line_dedup.line_table(docs, "doc_id", "text")]
+    frames = [hilbert_shards.assign_documents(docs), line_dedup.dedup(docs), line_dedup.signed_lines(line_dedup.distinct_lines(docs, "text"))]
     for df in frames:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

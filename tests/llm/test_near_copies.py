@@ -156,3 +156,17 @@ def test_lines_of_awkward_rows(docs, clashing, empty):
     assert line_dedup.dedup(empty).count() == 0
     shared = [r for r in done.collect() if r.text and "a line that many" in r.text]
     assert len({r.doc_id for r in shared}) == 1
+
+
+def test_repetitive_lines_and_templates(spark):
+    """Equal sets of unequal length, and near copies in a crowd of lines with a common part, which a band's least line is unlike."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    common = " ".join(word() for _ in range(10))
+    rows = [(0, "ab" * 50), (1, "ab" * 75), (2, "Then " * 400), (3, "Then " * 90)]
+    for k in range(150):
+        line = " ".join([common, *(word() for _ in range(3))])
+        rows += [(10 + 2 * k, line), (11 + 2 * k, line[:-1])]
+    gone = brute_drops(rows)
+    got = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("__dropped = 1").collect()}
+    assert {1, 3} <= got and got <= {i for i, _ in gone} and len(got) >= 0.99 * len(gone)
