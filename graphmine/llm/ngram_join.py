@@ -15,6 +15,9 @@ star around its least set (in the map batch first, so that a hot group leaves ea
 its members.  Pairs are verified on the exact sets, best partner first; pairs inside one component are
 not tried again.  Members of frequent signatures that stay in different components are compared in blocks: crowds
 with one centre are cut into blocks of bounded size, and the bitmaps of each two blocks meet in one task, where their differences rule out nearly all that don't link.
+
+Links are counted once components are whole, since both ends of a link lie in one: the sets of a component meet block by block, and
+the products of their membership matrices give all intersections exactly.  Counts come out, never the pairs.
 """
 
 from __future__ import annotations
@@ -232,8 +235,10 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 ROWS = "bucket int, kind int, payload binary"
 #: kind 0: packed signatures; 1: stars of a batch's hot signatures (key, set, size, role, centre); 2: documents.
 BASE = "kind int, x long, y long, z long, w long"
-#: kind 1: pairs (x > y), times seen, 0; 2: members of frequent signatures (key, set, size << 3 | role, centre); 0: documents (id, size, set, null mark).
+#: kind 1: pairs (x > y), times seen, 0; 2: members of frequent signatures (key, set, size << 3 | role, centre); 0: documents (id, size << 1 | null mark, set, hash of the text).
 KEY_BITS = 40
+#: Columns of a membership matrix that are multiplied at once.
+COLUMNS = 4096
 
 
 def _pack(key: np.ndarray, who: np.ndarray, role: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -252,12 +257,12 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return low.astype(U) | high.astype(U) << U(32), names[local], sizes[local].astype(np.int64), role
 
 
-def _map_batch(ids: list[int | None], texts: list[str], buckets: int, small: int) -> Iterator[tuple[int, int, bytes]]:
+def _map_batch(ids: list[int | None], hashes: list[int], texts: list[str], buckets: int, small: int) -> Iterator[tuple[int, int, bytes]]:
     sets, starts = shingle_sets(texts)
     sizes = np.diff(starts)
     names = set_class(sets, starts)
     spread = xxhash.xxh32_intdigest(repr(ids[:1]))
-    rows = np.stack([np.array([i or 0 for i in ids], np.int64), sizes, names, np.array([i is None for i in ids], np.int64)], 1)
+    rows = np.stack([np.array([i or 0 for i in ids], np.int64), sizes << 1 | np.array([i is None for i in ids], np.int64), names, np.array(hashes, np.int64)], 1)
     yield spread % buckets, 2, rows.tobytes()
     _, first = np.unique(names, return_index=True)
     once = np.zeros(len(names), bool)
@@ -285,11 +290,9 @@ def _map_batch(ids: list[int | None], texts: list[str], buckets: int, small: int
         key, who = key[stay], who[stay]
     bucket = ((key >> U(KEY_BITS)) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        at = order[cuts[b] : cuts[b + 1]]
-        if len(at):
-            yield b, 0, _pack(key[at], who[at], role[at], names, sizes)
+    used, cuts = np.unique(bucket[order], return_index=True)
+    for b, at in zip(used.tolist(), np.split(order, cuts[1:]), strict=True):
+        yield b, 0, _pack(key[at], who[at], role[at], names, sizes)
 
 
 def _base_rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -361,23 +364,25 @@ def _base_table(docs: DataFrame, batch_docs: int, small: int) -> DataFrame:
     buckets = BUCKETS_PER_PARTITION * parts
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids, texts):
-            rows = list(zip(*_map_batch(ids, texts, buckets, small), strict=True))
+        def flush(ids, hashes, texts):
+            rows = list(zip(*_map_batch(ids, hashes, texts, buckets, small), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["bucket", "kind", "payload"])
 
         ids: list = []
+        hashes: list = []
         texts: list = []
         held = 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 ids.append(i)
+                hashes.append(h)
                 texts.append(t)
                 held += len(t)
                 if len(ids) >= batch_docs or held >= 6 * BATCH_WORDS:
-                    yield flush(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield flush(ids, hashes, texts)
+                    ids, hashes, texts, held = [], [], [], 0
         if ids:
-            yield flush(ids, texts)
+            yield flush(ids, hashes, texts)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -402,14 +407,14 @@ def _base_table(docs: DataFrame, batch_docs: int, small: int) -> DataFrame:
         if held:
             yield from _reduce(*(np.concatenate(c) for c in zip(*held, strict=True)), small)
 
-    packed = docs.select("__id", "__text").mapInArrow(scan, ROWS)
+    packed = docs.select("__id", "__hash", "__text").mapInArrow(scan, ROWS)
     path = runtime.new_path(spark, "ngram-base")
     packed.repartition(parts, "bucket").mapInArrow(gather, BASE).write.partitionBy("kind").parquet(path)
     return spark.read.schema(BASE).parquet(path)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``name, n, sketch, bits`` and ``elements`` of the sets of the documents in ``wanted`` (column ``__wanted``)."""
+    """``name, n, sketch, bits`` and ``elements`` of the sets of the documents with an id in ``wanted`` (column ``__wanted``), each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,7 +427,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(starts)), pa.array([sketch(x) for x in each], pa.binary()), pa.array([bitmap(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["name", "n", "sketch", "bits", "elements"])
 
     some = docs.join(wanted, docs["__id"].eqNullSafe(wanted["__wanted"]), "left_semi")
-    return some.select("__text").mapInArrow(run, "name long, n long, sketch binary, bits binary, elements binary")
+    return some.select("__text").mapInArrow(run, "name long, n long, sketch binary, bits binary, elements binary").dropDuplicates(["name"])
 
 
 def _both_ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -489,31 +494,91 @@ def _between(crowds: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
     return _exact(runtime.materialize(near, "ngram-near"), sets)
 
 
-def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_docs: int = BATCH_DOCS, small: int = SMALL, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links.
+def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``two``, by products of membership matrices over the elements they share."""
+    out = np.zeros((len(one), len(two)), np.float64)
+    a, b = np.concatenate(one), np.concatenate(two)
+    shared = np.intersect1d(a, b)
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two))
+    place_a, place_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    keep_a, keep_b = (shared[np.minimum(p, len(shared) - 1)] == x if len(shared) else np.zeros(len(x), bool) for p, x in ((place_a, a), (place_b, b)))
+    rows_a, place_a, rows_b, place_b = rows_a[keep_a], place_a[keep_a], rows_b[keep_b], place_b[keep_b]
+    order_a, order_b = np.argsort(place_a, kind="stable"), np.argsort(place_b, kind="stable")
+    rows_a, place_a, rows_b, place_b = rows_a[order_a], place_a[order_a], rows_b[order_b], place_b[order_b]
+    for lo in range(0, len(shared), COLUMNS):
+        wide = min(COLUMNS, len(shared) - lo)
+        held = []
+        for rows, place, n in ((rows_a, place_a, len(one)), (rows_b, place_b, len(two))):
+            i, j = np.searchsorted(place, [lo, lo + wide])
+            m = np.zeros((n, wide), np.float32)
+            m[rows[i:j], place[i:j] - lo] = 1
+            held.append(m)
+        out += held[0] @ held[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Weighted links of the sets of two blocks (or of one) of a component: ``name, links``."""
+    name, copies, block = (table.column(c).to_numpy() for c in ("name", "copies", "block"))
+    sets = [np.frombuffer(x, U) for x in table.column("elements").to_pylist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    i, j = table.column("i").to_numpy()[0], table.column("j").to_numpy()[0]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    links = np.zeros(len(name), np.int64)
+    if len(left) and len(right):
+        common = _intersections([sets[k] for k in left], [sets[k] for k in right])
+        good = linked(size[left][:, None], size[right][None, :], common)
+        if i == j:
+            np.fill_diagonal(good, False)
+            links[left] = good @ copies[left]
+        else:
+            links[left], links[right] = good @ copies[right], good.T @ copies[left]
+    return pa.table({"name": name, "links": links})
+
+
+def _link_counts(label: DataFrame, sets: DataFrame, copies: DataFrame, block_sets: int) -> DataFrame:
+    """``name, links``: how many documents with another set each set of a component links with."""
+    held = label.select(F.col("node").alias("name"), "component").join(copies, "name").join(sets.select("name", "n"), "name")
+    held = runtime.materialize(held, "ngram-classes")
+    size = held.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("all"), F.sum("copies").alias("docs"))
+    # two sets of one component link, by being one
+    pairs = held.join(size.where("members = 2").select("component", "docs"), "component").select("name", (F.col("docs") - F.col("copies")).alias("links"))
+    blocks = F.ceil(F.greatest(F.col("members") / block_sets, F.col("all") / BLOCK_ELEMENTS)).cast("int")
+    placed = held.join(size.where("members > 2").select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "copies").join(sets.select("name", "elements"), "name")
+    met = rows.groupBy("component", "i", "j").applyInArrow(_block_links, "name long, links long")
+    return pairs.unionByName(met).groupBy("name").agg(F.sum("links").alias("links"))
 
-    Null text has no words and links with nothing; a null id takes part in links and is never the least; equal texts are
-    one set; repeated rows each come out; an empty table gives an empty one; other columns are not read.  Sets are named by 64
-    bits, so two different ones share a name with probability n**2 / 2**65.
+
+def join_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_docs: int = BATCH_DOCS, small: int = SMALL, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Per row ``doc_id, text_hash, n_shingles, component_id, class_id, n_links``; see ``join_components``.
+
+    ``class_id`` names the component in any case, also without an id, and is null where a text has no words.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("long").alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
+    text = F.col(text_column)
+    source = docs.select(F.col(id_column).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), F.coalesce(text, F.lit("")).alias("__text"))
     base = _base_table(source, batch_docs, small)
-    rows = base.where("kind = 0").select(F.when(F.col("w") == 0, F.col("x")).alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("name"))
+    rows = base.where("kind = 0").select(F.when(F.col("y") % 2 == 0, F.col("x")).alias("doc_id"), F.shiftright("y", 1).alias("n_shingles"), F.col("z").alias("name"), F.col("w").alias("text_hash"))
     pairs = runtime.materialize(base.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("seen")), "ngram-pairs")
     members = base.where("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("name"), F.expr("z div 8").alias("n"), F.col("w").alias("centre"))
     ends = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).union(members.select("name")).distinct()
     wanted = runtime.materialize(rows.join(ends, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("__wanted")).select("__wanted").distinct(), "ngram-wanted")
     sets = runtime.materialize(_sets_of(source, wanted), "ngram-sets")
+    written = [base, pairs, wanted, sets]
 
     best = pairs.groupBy("a").agg(F.max(F.struct("seen", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     best = runtime.materialize(best, "ngram-best")
     links = runtime.materialize(_verify(best, sets), "ngram-links")
     label = components(links)
+    written += [best, links]
 
     rest = runtime.materialize(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label), "ngram-rest")
+    written.append(rest)
     if not rest.isEmpty():
         more = runtime.materialize(_verify(rest, sets), "ngram-links")
+        written.append(more)
         if not more.isEmpty():
             links = links.union(more)
             label = components(links)
@@ -524,11 +589,44 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
         heads = members.groupBy("key").agg(F.min("centre").alias("head"))
         crowds = runtime.materialize(named.join(heads, "key").select(F.col("head").alias("centre"), "name", "n", "component").distinct(), "ngram-crowds")
         more = runtime.materialize(_between(crowds, sets, block_sets), "ngram-links")
+        written += [crowds, more]
         if not more.isEmpty():
             label = components(links.union(more))
 
-    group = F.coalesce(F.col("component"), F.col("name"))
-    named = rows.join(label.select(F.col("node").alias("name"), "component"), "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, group).alias("__group"))
+    copies = rows.where("n_shingles > 0").groupBy("name").agg(F.count("*").alias("copies"))
+    counts = runtime.materialize(copies.join(label.withColumnRenamed("node", "name"), "name", "left").join(_link_counts(label, sets, copies, block_sets), "name", "left"), "ngram-counts")
+    of_set = counts.select("name", F.coalesce("component", "name").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = rows.join(of_set, "name", "left").select("doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     named = runtime.materialize(named, "ngram-rows")
-    least = named.where("__group is not null").groupBy("__group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "__group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    runtime.drop_tables([*written, counts, label])
+    least = named.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "class_id", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id", "n_links")
+
+
+def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", batch_docs: int = BATCH_DOCS, small: int = SMALL, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Per row ``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links) and ``n_links`` (other rows that it links with).
+
+    Null text has no words and links with nothing; a null id takes part in links and is never the least; equal texts are
+    one set and link; repeated rows each come out; an empty table gives an empty one; other columns are not read.  Sets are named by 64
+    bits, so two different ones share a name with probability n**2 / 2**65.
+    """
+    return join_rows(docs, id_column, text_column, batch_docs, small, block_sets).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, of which one of each component stays: that with the least id (an id before none), then the least text hash.
+
+    Of rows that repeat an id and text any one stays.  Rows without words all stay.
+    """
+    found = runtime.materialize(join_rows(docs, id_column, text_column).where("class_id is not null").groupBy("class_id", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")), "ngram-kept")
+    # without a null id first, and below no other
+    order = F.struct(F.col("__id").isNull(), "__id", "__hash")
+    first = found.groupBy("class_id").agg(F.count("*").alias("several"), F.min(order).alias("k"))
+    judged = found.join(first.where("several > 1"), "class_id", "left").withColumn("stays", F.col("k").isNull() | (F.col("__id").eqNullSafe(F.col("k.__id")) & (F.col("__hash") == F.col("k.__hash"))))
+    # an id and text has one set, so it is in one class
+    gone = runtime.materialize(judged.where("not stays or n > 1").select("__id", "__hash", (F.col("stays") & (F.col("n") > 1)).alias("once")), "ngram-gone")
+    key = docs.withColumn("__text_hash", F.xxhash64(text_column))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    left = key.join(gone, same, "left_anti").select(*docs.columns)
+    once = key.join(gone.where("once").select("__id", "__hash"), same, "left_semi").dropDuplicates([id_column, "__text_hash"]).select(*docs.columns)
+    return left if gone.where("once").isEmpty() else left.unionByName(once)

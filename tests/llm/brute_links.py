@@ -40,3 +40,10 @@ def components(docs):
         known = least.get(root)
         least[root] = i if known is None else known if i is None else min(known, i)
     return [(i, len(s), least[find(k)]) for k, ((i, _), s) in enumerate(zip(docs, sets, strict=True))]
+
+
+def link_counts(docs):
+    """(id, number of other rows that it links with) of each document."""
+    sets = [shingles(t) for _, t in docs]
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    return [(i, sum(near(sets[k], s) for j, s in enumerate(sets) if j != k)) for k, (i, _) in enumerate(docs)]

@@ -39,7 +39,9 @@ def test_components_of_random_links(spark):
 
 def test_join_on_awkward_rows(docs, rows, clashing):
     want = in_order(brute_links.components([r[:2] for r in rows]))
-    assert as_rows(ngram_join.join_components(docs), "doc_id", "n_shingles", "component_id") == want
+    got = ngram_join.join_components(docs).collect()
+    assert in_order([r[:3] for r in map(tuple, got)]) == want
+    assert in_order([(r.doc_id, r.n_links) for r in got]) == in_order(brute_links.link_counts([r[:2] for r in rows]))
     assert as_rows(ngram_join.join_components(clashing), "doc_id", "n_shingles", "component_id") == want
 
 
@@ -58,7 +60,21 @@ def test_join_with_crowds(spark, seed, small):
             text[k : k + rnd.randint(0, 1)] = [rnd.choice(words)]
         rows.append((i, " ".join(text + (hot if rnd.random() < 0.4 else []))))
     got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batch_docs=25, small=small, block_sets=16)
-    assert as_rows(got, "doc_id", "n_shingles", "component_id") == in_order(brute_links.components(rows))
+    got = got.collect()
+    assert in_order([r[:3] for r in map(tuple, got)]) == in_order(brute_links.components(rows))
+    assert in_order([(r.doc_id, r.n_links) for r in got]) == in_order(brute_links.link_counts(rows))
+
+
+def test_join_of_repeated_rows(spark):
+    """Many copies of two near texts under null and equal ids: one set each, and one row stays."""
+    base = [f"w{k}" for k in range(60)]
+    one, two = " ".join(base), " ".join([*base, "more"])
+    rows = [(None, one)] * 700 + [(7, two)] * 700 + [(None, two)] * 300 + [(9, "alone"), (9, one), (3, ""), (3, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.join_components(df)
+    want = {(56 if t == one else 57 if t == two else 1 if t else 0, 7 if t in (one, two) else i, 1700 if t in (one, two) else 0) for i, t in rows}
+    assert {(r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == want and got.count() == len(rows)
+    assert as_rows(ngram_join.keep_one(df), "doc_id", "text") == as_rows(spark.createDataFrame([(7, two), (9, "alone"), (3, ""), (3, ""), (None, None)], "doc_id long, text string"), "doc_id", "text")
 
 
 def test_join_of_nothing(empty):
