@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 A seed is, at each word of a benchmark item, the shortest run of words that chance would hardly put into a text: the
-words' frequencies over the whole corpus must multiply to 2 ** -SEED_BITS or less.  A document that has a seed is
+words' frequencies over the whole corpus must multiply to 2 ** -SEED_BITS or less.  An item whose words together don't reach that,
+such as one frequent word, is no evidence of a leak and has no seeds.  A document that has a seed is
 aligned with the item around the places of its seeds, so copies with words changed, added or left out
 score as high as their unchanged part lets them.  No seed is dropped for being frequent in the corpus: a
 passage that leaked a thousand times stays findable.
@@ -12,8 +13,8 @@ documents without a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from graphmine.llm.kept import Kept, sole
 from graphmine.llm.ngram_join import mix
 
 U = np.uint64
-#: Documented parameters: bits of a seed, its least and most words, text bytes of a block of items.
-SEED_BITS, LEAST_SEED, MOST_SEED, BLOCK_BYTES = 26.0, 2, 8, 8_000_000
+#: Documented parameters: bits of a seed, its least words (or all of a shorter item), text bytes of a block of items.
+SEED_BITS, LEAST_SEED, BLOCK_BYTES = 26.0, 2, 8_000_000
 #: Scores of the alignment; share of an item's best score, and matched words (or all of a shorter item), that make a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SHARE, LEAST_MATCHED = 0.4, 8
@@ -59,25 +60,44 @@ def runs(names: np.ndarray, n: int) -> np.ndarray:
     return mix(h + U(n))
 
 
+def _next_row(up: np.ndarray, name: int, text: np.ndarray, step: np.ndarray) -> np.ndarray:
+    row = np.maximum(up + GAP, 0)
+    row[1:] = np.maximum(row[1:], up[:-1] + np.where(text == name, MATCH, MISMATCH))
+    return (np.maximum.accumulate(row + step) - step).astype(np.int32)
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment: score, matched words, begin and end in ``text``."""
-    n = len(text)
-    step = np.arange(n + 1) * -GAP
-    rows = [np.zeros(n + 1, np.int32)]
-    for name in item:
-        up = rows[-1]
-        row = np.maximum(up + GAP, 0)
-        row[1:] = np.maximum(row[1:], up[:-1] + np.where(text == name, MATCH, MISMATCH))
-        rows.append((np.maximum.accumulate(row + step) - step).astype(np.int32))
-    table = np.stack(rows)
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    best, end, matched = int(table[i, j]), int(j), 0
-    while i and j and table[i, j] > 0:
+    """Best local alignment: score, matched words, begin and end in ``text``.
+
+    Every k-th row is kept, k the square root of the item's length; the rows between are computed again on the way back.
+    """
+    step = np.arange(len(text) + 1, dtype=np.int32) * -GAP
+    every = max(1, math.isqrt(len(item)))
+    row = np.zeros(len(text) + 1, np.int32)
+    kept, best, i, j = [row], 0, 0, 0
+    for k, name in enumerate(item, 1):
+        row = _next_row(row, name, text, step)
+        top = int(row.max())
+        if top > best:
+            best, i, j = top, k, int(row.argmax())
+        if k % every == 0:
+            kept.append(row)
+    end, matched = j, 0
+    first, rows = i, []
+    while i and j:
+        if i <= first:  # rows of the block below
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for name in item[first:i]:
+                rows.append(_next_row(rows[-1], name, text, step))
+        here, up = rows[i - first], rows[i - first - 1]
+        if here[j] <= 0:
+            break
         same = item[i - 1] == text[j - 1]
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
+        if here[j] == up[j - 1] + (MATCH if same else MISMATCH):
             matched += int(same)
             i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
+        elif here[j] == up[j] + GAP:
             i -= 1
         else:
             j -= 1
@@ -92,12 +112,13 @@ class Seeds:
         tables: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, names) in enumerate(items):
             weight = np.array([bits.get(int(x), 64.0) for x in names])
+            least = min(LEAST_SEED, len(names))
             for at in range(len(names)):
                 total, n = 0.0, 0
-                while at + n < len(names) and n < MOST_SEED and (total < SEED_BITS or n < LEAST_SEED):
+                while at + n < len(names) and (total < SEED_BITS or n < least):
                     total += weight[at + n]
                     n += 1
-                if total >= SEED_BITS and n >= LEAST_SEED or n == MOST_SEED or (n and n == len(names)):
+                if total >= SEED_BITS and n >= least:
                     tables.setdefault(n, []).append((int(runs(names[at : at + n], n)[0]), k, at))
         self.tables = {}
         for n, rows in tables.items():
@@ -109,18 +130,26 @@ class Seeds:
 
     def leaks(self, names: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """(item id, share of the best score, matched words, begin, end) of items that the words hold."""
-        hits: dict[int, list[int]] = {}
+        found = []
         for n, (hashes, places, known) in self.tables.items():
             h = runs(names, n)
-            for at in np.flatnonzero(known[h >> U(46)]).tolist():
-                lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-                for k, begin in places[lo:hi].tolist():
-                    hits.setdefault(k, []).append(at - begin)
+            at = np.flatnonzero(known[h >> U(46)])
+            if not len(at):
+                continue
+            lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            times = hi - lo
+            if times.any():
+                place = places[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+                found.append(np.stack([place[:, 0], np.repeat(at, times) - place[:, 1]], 1))
+        if not found:
+            return []
+        hits = np.unique(np.concatenate(found), axis=0)
         out = []
-        for k, begins in hits.items():
+        cuts = np.flatnonzero(np.diff(hits[:, 0], prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(hits)], strict=True):
+            k, begins = int(hits[a, 0]), hits[a:b, 1].tolist()
             item_id, item = self.items[k]
             reach = len(item) // 2 + 4
-            begins.sort()
             best, lo = None, begins[0]
             for this, after in zip(begins, [*begins[1:], None], strict=True):
                 if after is not None and after - this <= reach and after - lo <= 4 * len(item):

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from graphmine.llm import decontaminate, fertility_rules, lattice_lm, zstd_secrets
 from graphmine.llm.queries import tokenizer
@@ -222,3 +223,46 @@ def test_random_strings_of_any_letters_are_novel(letters, copies):
         text = " and then ".join([f"send bearer {key} with it"] * copies)
         found += len(zstd_secrets.novel_spans(text, text.lower(), words)) == copies
     assert found >= 148
+
+
+def test_long_candidates_take_linear_time():
+    import time
+
+    rnd = random.Random(3)
+    blob = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    blob = "secret".join([blob[:500_000], blob[500_000:]])
+    began = time.time()
+    spans = zstd_secrets.novel_spans("token " + blob, "token " + blob.lower(), frozenset())
+    assert spans == [(6, 3, 6 + len(blob))] and time.time() - began < 3
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [(k, f"framework deployment {'rare' * 2} {chr(97 + k % 26) * 6}") for k in range(200)] + [(None, None), (1, "")]
+    words = zstd_secrets.dictionary(spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("text", F.lit("")).alias("text")), "text").decode().split()
+    assert words[-3:] == ["rarerare", "framework", "deployment"]
+
+
+def test_alignment_of_a_long_item_is_that_of_a_whole_table():
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    for _ in range(60):
+        item, text = rnd.integers(1, 6, int(rnd.integers(1, 30))).astype(np.uint64), rnd.integers(1, 6, int(rnd.integers(1, 60))).astype(np.uint64)
+        table = np.zeros((len(item) + 1, len(text) + 1), int)
+        for i in range(1, len(item) + 1):
+            for j in range(1, len(text) + 1):
+                table[i, j] = max(0, table[i - 1, j - 1] + (2 if item[i - 1] == text[j - 1] else -1), table[i - 1, j] - 1, table[i, j - 1] - 1)
+        score, matched, begin, end = decontaminate.align(item, text)
+        assert score == table.max() and matched <= min(len(item), end - begin) and 2 * matched >= score
+    item = rnd.integers(1, 1 << 40, 3000).astype(np.uint64)
+    tracemalloc.start()
+    assert decontaminate.align(item, np.concatenate([item[:1400], item[1500:]] * 3))[1] >= 2900
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_items_that_chance_makes_have_no_seeds(spark):
+    docs = spark.createDataFrame([(k, "the cat and the dog " * 5 + f"unusual{k}") for k in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "unusual7"), (3, None), (4, "")], "item_id long, text string")
+    assert decontaminate.leaks(docs, items).count() == 0
+    assert decontaminate.clean(docs, items).count() == 50
