@@ -48,6 +48,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+_white = regex.compile(WHITE_SPACE)
+
+
+def white_runs(text: str) -> list[str]:
+    """Runs without Unicode white space."""
+    if any(c in text for c in NOT_WHITE_HERE):  # white space to Python alone
+        return [p for p in _white.split(text) if p]
+    return text.split()
+
+
 class MergeAutomaton:
     """The compiled automaton; ``merges`` are id triples (left, right, merged) in rank order."""
 
@@ -164,7 +174,6 @@ class Codec:
         self.marks = tuple({c[:2] for c in self.special})
         self.letters = {b: ord(c) for b, c in byte_letters().items()}
         self.pre = regex.compile(PRE_SPLIT)
-        self.white = regex.compile(WHITE_SPACE)
         self.cached = cached
         self.chunks = Kept(self.part_ids, cached)
         self.words: dict[str, tuple[int, ...]] = {}
@@ -208,9 +217,7 @@ class Codec:
         return self._runs(text)
 
     def _runs(self, text: str) -> list[str]:
-        if any(c in text for c in NOT_WHITE_HERE):  # white space to Python alone
-            return [p for p in self.white.split(text) if p]
-        return text.split()
+        return white_runs(text)
 
     def part_ids(self, part: str) -> tuple[int, ...]:
         return (self.special[part],) if part in self.special else self.chunk_ids(part)

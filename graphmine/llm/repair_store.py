@@ -13,7 +13,7 @@ lengths of the rules; u16 symbols.
 from __future__ import annotations
 
 import itertools
-import json
+import os
 import struct
 import zlib
 from array import array
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphmine.llm import runtime
-from graphmine.llm.bpe_automaton import Codec
+from graphmine.llm.bpe_automaton import white_runs
 from graphmine.llm.kept import sole
 
 MAGIC = b"RPG1"
@@ -180,46 +180,34 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-class KnownRuns(dict):
-    """Ids of runs seen so far, as bytes; emptied between batches once it holds too many."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, run: str) -> bytes:
-        ids = self[run] = self.make(run)
-        return ids
-
-
 class LibraryIds:
-    """Ids by the tokenizers library's model, which sees each run without white space once while it is known."""
+    """Ids by the tokenizers library, which encodes each run without white space once while it is known.
+
+    The tokenizer drops white space and splits there, so a text's ids are those of its runs one after another.
+    """
 
     def __init__(self, spec: str, cached: int):
-        self.model = tokenizers.Tokenizer.from_str(spec).model
-        self.split = Codec(json.loads(spec), 0)
-        self.special = {p: array("H", [i]).tobytes() for p, i in self.split.special.items()}
-        self.cached, self.known = cached, KnownRuns(self.run_ids)
-
-    def run_ids(self, run: str) -> bytes:
-        tokenize = self.model.tokenize
-        return self.special.get(run) or array("H", [t.id for word in self.split.split(run) for t in tokenize(word)]).tobytes()
-
-    def parts(self, text: str) -> list[str]:
-        """Runs of the text; where lower case maps letters one by one it is taken here, so that fewer runs differ."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.split.parts(text)
-        low = text.lower()
-        return self.split.parts(text if any(m in low for m in self.split.marks) else low)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = tokenizers.Tokenizer.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.cached = cached
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, runs: list[str]) -> None:
+        for lo in range(0, len(runs), RUNS_AT_ONCE):
+            some = runs[lo : lo + RUNS_AT_ONCE]
+            for run, made in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[run] = array("H", made.ids).tobytes()
 
     def batch(self, texts: list[str], end: int) -> tuple[bytes, list[int]]:
         """16-bit ids of all texts one after another, each with ``end`` behind it, and their counts."""
         if len(self.known) > self.cached:
             self.known.clear()
+        parts = [white_runs(t) for t in texts]
+        self.learn(list(set().union(*parts).difference(self.known)))
         stop = struct.pack("<H", end)
-        out = [b"".join(map(self.known.__getitem__, self.parts(t))) + stop for t in texts]
+        out = [b"".join(map(self.known.__getitem__, p)) + stop for p in parts]
         return b"".join(out), [len(x) // 2 for x in out]
 
 
@@ -230,15 +218,16 @@ def library_ids(spec: str) -> LibraryIds:
 
 BLOCK = "part int, block int, n_docs long, n_ids long, payload binary"
 READ = "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
-#: Runs that a worker knows before it starts anew, and characters of a batch.
-CACHED, AT_ONCE = 400_000, 4_000_000
+#: Runs that a worker knows before it starts anew, characters of a batch, and runs that the library encodes at once.
+CACHED, AT_ONCE, RUNS_AT_ONCE = 400_000, 4_000_000, 20_000
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, append ``end_id`` to each and write shards, in ascending ``doc_id`` order, below ``path``.
 
     A null text counts as empty and is stored as its end id; a null id sorts first; rows with one id stay
-    apart, in the order of their texts.  The order comes from one range exchange on the id; ids of a vocabulary
+    apart, in the order of their texts' hashes.  The order comes from one range exchange on id and hash, so that many texts with one
+    id are dealt to many tasks; ids of a vocabulary
     over 65,535 symbols don't fit this format and are refused.
     """
     spark = docs.sparkSession
@@ -248,7 +237,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = library_ids(spec.value)
-        first = len(made.split.labels)
+        first = made.library.get_vocab_size(with_added_tokens=True)
         if first >= SYMBOLS:
             raise ValueError("this format holds 16-bit symbols")
         part, block = TaskContext.get().partitionId(), 0
@@ -288,7 +277,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, sh
         if names:
             yield close()
 
-    source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "__text").mapInArrow(run, BLOCK).write.parquet(path)
+    source.repartitionByRange("doc_id", F.xxhash64("__text")).sortWithinPartitions("doc_id", F.xxhash64("__text")).mapInArrow(run, BLOCK).write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

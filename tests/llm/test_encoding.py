@@ -9,6 +9,7 @@ import pytest
 import tokenizers
 
 from llm_rows import as_rows
+from llm_rows import texts as made_texts
 from graphmine.llm import bpe_automaton as bpe
 from graphmine.llm import repair_store as store
 from graphmine.llm import runtime
@@ -124,3 +125,17 @@ def test_store_of_nothing(spark, empty):
     path = runtime.new_path(spark, "test-store")
     store.write_store(empty, PATH, path, end_id=2)
     assert store.read_store(spark, path).count() == 0
+
+
+def test_runs_give_the_ids_of_whole_texts(spark):
+    """The store's encoder against the library on whole texts of a whole table."""
+    from graphmine.llm.queries import tokenizer
+
+    spec = open(tokenizer("word_bpe_49k.json"), encoding="utf-8").read()
+    library = tokenizers.Tokenizer.from_str(spec)
+    texts = [r.text or "" for r in runtime.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()] + [t or "" for _, t in made_texts()]
+    raw, counts = store.LibraryIds(spec, 1000).batch(texts, 2)
+    ids, at = np.frombuffer(raw, "<u2").tolist(), 0
+    for made, n in zip(library.encode_batch(texts, add_special_tokens=False), counts, strict=True):
+        assert ids[at : at + n] == [*made.ids, 2]
+        at += n
