@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from graphmine.llm import runtime
 
-#: Documented parameters: turns of a span; least characters of a normalised key.
-SPAN, LEAST_KEY = 1024, 4
+#: Documented parameter: turns of a span.
+SPAN = 1024
 #: The mark of a quoted line, and the line that mail programs put above a quote.
 QUOTED = r"^[ \t]*>"
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
@@ -33,10 +33,10 @@ def normal(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """One row for each line that is not blank: ``conv_id, turn, place, level, line`` (without its marks)."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
+    """One row for each line that is not blank: ``conv_id, turn, row`` (hash of the text)``, place, level, line`` (without its marks)."""
+    lines = messages.select("conv_id", "turn", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
     marks = F.regexp_extract("raw", MARKS, 1)
-    out = lines.select("conv_id", "turn", "place", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.regexp_replace("raw", MARKS, "").alias("line"))
+    out = lines.select("conv_id", "turn", "row", "place", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.regexp_replace("raw", MARKS, "").alias("line"))
     return out.where(F.col("line").rlike(r"\S"))
 
 
@@ -45,19 +45,20 @@ def passages(lines: DataFrame) -> DataFrame:
 
     Lines are gathered within one message only.
     """
-    ordered = W.partitionBy("conv_id", "turn").orderBy("place")
+    ordered = W.partitionBy("conv_id", "turn", "row").orderBy("place")
     new = (F.col("place") - F.lag("place").over(ordered) > 1) | (F.col("level") != F.lag("level").over(ordered))
     runs = lines.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(ordered))
-    joined = runs.groupBy("conv_id", "turn", "level", "run").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("all"), F.count("*").alias("n"))
+    joined = runs.groupBy("conv_id", "turn", "row", "level", "run").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("all"), F.count("*").alias("n"))
     return joined.where("n > 1").select("conv_id", "turn", "level", F.array_join(F.col("all.line"), " ").alias("line"))
 
 
 def keys(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, level, key, size`` of all lines and passages of messages with an id and a turn."""
-    lines = parsed(messages.where("conv_id is not null and turn is not null"))
+    once = messages.where("conv_id is not null and turn is not null").withColumn("__row", F.xxhash64("text")).dropDuplicates(["conv_id", "turn", "__row"])
+    lines = parsed(once)
     every = lines.select("conv_id", "turn", "level", "line").union(passages(lines))
     text = normal(F.col("line"))
-    return every.select("conv_id", "turn", "level", F.xxhash64(text).alias("key"), F.length(text).alias("size")).where(F.col("size") >= LEAST_KEY).distinct()
+    return every.select("conv_id", "turn", "level", F.xxhash64(text).alias("key"), F.length(text).alias("size")).where("size > 0").distinct()
 
 
 def origins(found: DataFrame) -> DataFrame:
@@ -97,7 +98,9 @@ def link(messages: DataFrame) -> DataFrame:
     root at depth 0.  Messages with a null conversation or turn are not linked; a null text has a null body; rows that
     repeat a conversation and turn are one message when quoted and each come out; an empty table gives an empty one.
     """
-    linked = roots(replies(keys(messages.select("conv_id", "turn", "text"))))
+    found = runtime.materialize(keys(messages.select("conv_id", "turn", "text")), "chat-keys")  # read four times
+    linked = roots(replies(found))
+    runtime.drop_tables([found])
     at = linked.select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "reply_to", "root_turn", "depth")
     lines = F.split("text", "\n", -1)
     quoted = F.filter(lines, lambda x: x.rlike(QUOTED))

@@ -70,7 +70,8 @@ def test_quotes(spark):
 def test_no_python_in_native_plans(docs, spark):
     from graphmine.llm import line_dedup
 
-    frames = [hilbert_shards.assign_documents(docs), line_dedup.dedup(docs), line_dedup.signed_lines(line_dedup.distinct_lines(docs, "text"))]
+    empty = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    frames = [quote_links.link(empty), quote_links.keys(empty), hilbert_shards.assign_documents(docs), line_dedup.dedup(docs), line_dedup.signed_lines(line_dedup.distinct_lines(docs, "text"))]
     for df in frames:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -109,3 +110,29 @@ def test_pipeline_stages(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect())) == sorted(map(tuple, stages[-1][1].select("doc_id", "n_tokens").collect()))
+
+
+def test_quotes_of_made_up_conversations(spark):
+    """Nested quotes against a search of every earlier message, newest first."""
+    import random
+
+    rnd = random.Random(12)
+    word = lambda: rnd.choice("alpha beta gamma delta omega sigma theta kappa".split()) + str(rnd.randrange(60))
+    rows, want = [], {}
+    for conv in range(25):
+        own: list[list[str]] = []
+        chain: list[list[int]] = []
+        for turn in range(rnd.randint(1, 9)):
+            lines = [" ".join(word() for _ in range(rnd.randint(2, 6))) for _ in range(rnd.randint(1, 3))]
+            quoted, path = [], []
+            if turn and rnd.random() < 0.7:
+                at = rnd.randrange(turn)
+                path = [at, *chain[at]]
+                for level, t in enumerate(path, 1):
+                    quoted += [">" * level + " " + x.upper() for x in own[t]]
+            own.append(lines)
+            chain.append(path)
+            rows.append((conv, turn, "user", "\n".join([*quoted, "", *lines])))
+            want[conv, turn] = (path[0] if path else None, path[-1] if path else turn, len(path), len(quoted))
+    got = quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    assert {(r.conv_id, r.turn): (r.reply_to, r.root_turn, r.depth, r.n_quoted) for r in got.collect()} == want
