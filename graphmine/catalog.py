@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphmine.functions.pattern import ANY, OUT, Code, Edge, EdgeType, canonical_code, join_steps, orbits, query_graph_text, text
@@ -91,22 +92,32 @@ def _mine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.select(F.col("n_edges").cast("int").alias("n_edges"), "patterns", "least", "most")
 
 
+def _labels(adj: DataFrame) -> list[int]:
+    return sorted(r[0] for r in adj.select("src_label").distinct().collect())
+
+
 def _parallel(adj: DataFrame) -> DataFrame:
-    """Two edges with different labels between the same two vertices."""
-    some = adj.where("src_label < dst_label")
-    x = some.select("src", "dst", "src_label", "dst_label", F.col("edge_label").alias("e0"))
-    y = some.select("src", "dst", F.col("edge_label").alias("e1"))
-    both = x.join(y, ["src", "dst"]).where("e0 < e1")
-    return both.groupBy("src_label", "e0", "e1", "dst_label").agg(F.least(F.count_distinct("src"), F.count_distinct("dst")).cast("long").alias("support"))
+    """Two edges with different labels between the same two vertices, by the matcher: an edge and a cycle edge back."""
+    kinds = adj.where("src_label < dst_label").select("src_label", "edge_label", "dst_label").distinct().collect()
+    codes = sorted({canonical_code([Edge(0, 1, a, e, b), Edge(1, 0, b, f, a)]) for a, e, b in kinds for x, f, y in kinds if (a, b) == (x, y) and e < f})
+    rows = [(text(c), c[0].il, c[0].el, c[1].el, c[0].jl) for c in codes]
+    names = adj.sparkSession.createDataFrame(rows, "code string, src_label int, e0 int, e1 int, dst_label int")
+    return _by_skeleton(adj, codes).join(F.broadcast(names), "code").select("src_label", "e0", "e1", "dst_label", "support")
+
+
+def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst``: from the part of each line of an order to the part of its next line."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return lines.select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null and src <> dst")
 
 
 def _antiparallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reply and counter-reply between event types: u -> v and v -> u as label pairs of the users' chains."""
-    adj = events(spark, sf_dir)
-    pairs = adj.where("dir = 1").select(F.col("src_label").alias("a"), F.col("dst_label").alias("b"), "src", "dst")
-    x = pairs.select(F.pmod("src", F.lit(50)).alias("u"), F.pmod("dst", F.lit(50)).alias("v"), "a", "b").where("u <> v").distinct()
-    y = x.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("b").alias("c"), F.col("a").alias("d"))
-    return x.join(y, ["u", "v"]).where("a = c and b = d and a <= b").groupBy("a", "b").agg(F.least(F.count_distinct("u"), F.count_distinct("v")).cast("long").alias("support"))
+    """Parts that follow each other in both orders; a part's label is a function of its key."""
+    label = lambda c: (F.pmod(F.col(c), F.lit(3)) + 1).cast("int")
+    steps = part_steps(spark, sf_dir).select("src", label("src").alias("src_label"), F.lit(1).alias("edge_label"), "dst", label("dst").alias("dst_label"))
+    adj = graph.adjacency(graph.edges(steps), directed=True)
+    return _by_skeleton(adj, [canonical_code([Edge(0, 1, a, 1, b, OUT), Edge(1, 0, b, 1, a, OUT)]) for a in _labels(adj) for b in _labels(adj) if a <= b])
 
 
 def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,16 +127,14 @@ def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _profile_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     positions = customer.select(F.col("c_custkey").alias("vertex"), (F.col("c_custkey") + 1000000).alias("uid"))
-    profiles = customer.where("c_custkey % 10 <> 0").select((F.col("c_custkey") + 1000000).alias("uid"), (F.col("c_nationkey") + 1).cast("int").alias("label"))
+    profiles = customer.select((F.col("c_custkey") + 1000000).alias("uid"), (F.col("c_nationkey") + 1).cast("int").alias("label"))
     n = customer.count()
     network = customer.select(F.col("c_custkey").alias("v"), F.pmod(F.col("c_custkey") * 7 + 1, F.lit(n)).alias("nbr"), F.pmod("c_custkey", F.lit(2)).alias("kind"))
     return importers.profile_network(positions, profiles, network)
 
 
 def _import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    pairs = orders.select(F.col("o_custkey").alias("src"), F.pmod("o_orderkey", F.lit(1000)).alias("dst"))
-    return importers.edge_pairs(pairs.where("src <> dst"), 5)
+    return importers.edge_pairs(part_steps(spark, sf_dir), 5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -166,7 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "domain_sizes": on(trade, lambda a: match.domain_sizes(match.embeddings(a, TRIANGLE))),
         "domain_bounds": on(trade, lambda a: match.reduced_domains(a, PATH3, 1)),
         "semi_join_projection": on(trade, lambda a: match.project(match.embeddings(a, TRIANGLE), match.domains(match.embeddings(a, DIAMOND)).where("pos = 0"))),
-        "reversed_pair_dedup": _import_csv,
+        "reversed_pair_dedup": lambda spark, d: importers.edge_pairs(part_steps(spark, d), 5).select("src", "dst"),
         "import_edge_csv": _import_csv,
         "import_profile_network": _profile_network,
         "export_arabesque": on(trade, exports.neighbour_lines),
@@ -214,9 +223,32 @@ EVENTS = """
 ety AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS INTEGER) l FROM (SELECT DISTINCT event_type v FROM events)),
 ev AS (SELECT event_id id, l, lead(event_id) OVER w nid, lead(l) OVER w nl FROM events JOIN ety ON v = event_type WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 chain AS (SELECT id src, l src_label, CAST(1 AS INTEGER) edge_label, nid dst, nl dst_label FROM ev WHERE nid IS NOT NULL)"""
-PAIRS = """
-csv AS (SELECT DISTINCT least(o_custkey, o_orderkey % 1000) src, greatest(o_custkey, o_orderkey % 1000) dst FROM orders WHERE o_custkey <> o_orderkey % 1000)"""
+STEPS = """
+steps AS (SELECT * FROM (SELECT l_partkey src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
+PAIRS = STEPS + """,
+csv AS (SELECT DISTINCT least(src, dst) src, greatest(src, dst) dst FROM steps)"""
 CSV = f"WITH {PAIRS} SELECT src, CAST((src * 7 + 3) % 5 + 1 AS INTEGER) src_label, CAST(0 AS INTEGER) edge_label, dst, CAST((dst * 7 + 3) % 5 + 1 AS INTEGER) dst_label FROM csv"
+#: The labels' triangle, each edge type filtered first.
+TRIANGLE_ROWS = f"""
+t1 AS MATERIALIZED (SELECT src, dst FROM edges WHERE edge_label = 1 AND src_label = {AC} AND dst_label = {AO}),
+t2 AS MATERIALIZED (SELECT src, dst FROM edges WHERE edge_label = 2 AND src_label = {AO} AND dst_label = {AP}),
+t3 AS MATERIALIZED (SELECT src, dst FROM edges WHERE edge_label = 3 AND src_label = {AC} AND dst_label = {AP}),
+triangle AS MATERIALIZED (SELECT t1.src v0, t1.dst v1, t2.dst v2 FROM t1 JOIN t2 ON t1.dst = t2.src JOIN t3 ON t3.src = t1.src AND t3.dst = t2.dst)"""
+
+
+def _bounds(code: Code) -> str:
+    """SQL of the domains' bounds after one round over the edges, one table for each step."""
+    now, ctes = {}, []
+    for e in code:
+        for v, label in ((e.i, e.il), (e.j, e.jl)):
+            if v not in now:
+                now[v] = f"b{v}"
+                ctes.append(f"b{v} AS MATERIALIZED (SELECT DISTINCT src vid FROM adj WHERE src_label = {label})")
+    for k, e in enumerate(code):
+        for side, (a, b, x) in enumerate(((e.i, e.j, e), (e.j, e.i, e.reversed()))):
+            ctes.append(f"s{k}_{side} AS MATERIALIZED (SELECT vid FROM {now[a]} WHERE vid IN (SELECT src FROM adj WHERE src_label = {x.il} AND edge_label = {x.el} AND dst_label = {x.jl} AND dst IN (SELECT vid FROM {now[b]})))")
+            now[a] = f"s{k}_{side}"
+    return f"WITH {ADJ}, {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT CAST({v} AS INTEGER) pos, vid FROM {t}" for v, t in sorted(now.items()))
 
 
 def _one_edge_codes() -> str:
@@ -279,15 +311,17 @@ def oracle_sql() -> dict[str, str]:
         "star3_support": _support_of([("o", "p", AO, 2, AP), ("o", "q", AO, 2, AP + 1), ("o", "r", AO, 2, AP + 2)], []),
         "k4_support": f"WITH {PAIRS}, adj AS (SELECT src, dst FROM csv UNION SELECT dst, src FROM csv) SELECT CAST(least(count(DISTINCT a.src), count(DISTINCT a.dst), count(DISTINCT b.dst), count(DISTINCT c.dst)) AS BIGINT) support FROM adj a JOIN adj b ON a.src = b.src JOIN adj c ON a.src = c.src JOIN adj d ON d.src = a.dst AND d.dst = b.dst JOIN adj e ON e.src = a.dst AND e.dst = c.dst JOIN adj f ON f.src = b.dst AND f.dst = c.dst",
         "parallel_edge_support": f"WITH {RANKS}, fl AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS INTEGER) l FROM (SELECT DISTINCT l_returnflag v FROM lineitem)), edges AS (SELECT DISTINCT od.id src, od.l src_label, fl.l edge_label, pa.id dst, pa.l dst_label FROM lineitem JOIN od ON l_orderkey = od.k JOIN pa ON l_partkey = pa.k JOIN fl ON fl.v = l_returnflag) SELECT x.src_label, x.edge_label e0, y.edge_label e1, x.dst_label, CAST(least(count(DISTINCT x.src), count(DISTINCT x.dst)) AS BIGINT) support FROM edges x JOIN edges y ON x.src = y.src AND x.dst = y.dst AND x.edge_label < y.edge_label GROUP BY ALL",
-        "antiparallel_edge_support": f"WITH {EVENTS}, x AS (SELECT DISTINCT src % 50 u, dst % 50 v, src_label a, dst_label b FROM chain WHERE src % 50 <> dst % 50) SELECT x.a, x.b, CAST(least(count(DISTINCT x.u), count(DISTINCT x.v)) AS BIGINT) support FROM x JOIN x y ON x.u = y.v AND x.v = y.u AND x.a = y.b AND x.b = y.a AND x.a <= x.b GROUP BY ALL",
+        "antiparallel_edge_support": f"WITH {STEPS}, x AS (SELECT DISTINCT src u, dst v, src % 3 + 1 a, dst % 3 + 1 b FROM steps) SELECT '(0,1,' || x.a || ',1,' || x.b || ',1)(1,0,' || x.b || ',1,' || x.a || ',1)' code, CAST(least(count(DISTINCT x.u), count(DISTINCT x.v)) AS BIGINT) support FROM x JOIN x y ON x.u = y.v AND x.v = y.u AND x.a <= x.b GROUP BY x.a, x.b",
         "embedding_count": f"WITH {ADJ} SELECT count(*) embeddings FROM adj x JOIN adj y ON x.src = y.src AND x.dst <> y.dst WHERE x.src_label = {AO} AND x.edge_label = 2 AND y.edge_label = 2 AND x.dst_label = {AP} AND y.dst_label = {AP}",
-        "embedding_list": f"WITH {EDGES}, {TRI} SELECT c v0, o v1, p v2 FROM ({triangle})",
+        "embedding_list": f"WITH {EDGES}, {TRIANGLE_ROWS} SELECT * FROM triangle",
+        "domain_bounds": _bounds(PATH3),
+        "semi_join_projection": f"WITH {EDGES}, {TRIANGLE_ROWS}, q2 AS MATERIALIZED (SELECT src, dst FROM edges WHERE edge_label = 2 AND src_label = {AO} AND dst_label = {AP + 1}), q3 AS MATERIALIZED (SELECT src, dst FROM edges WHERE edge_label = 3 AND src_label = {AC} AND dst_label = {AP + 1}) SELECT * FROM triangle WHERE v0 IN (SELECT t.v0 FROM triangle t JOIN q2 ON q2.src = t.v1 JOIN q3 ON q3.src = t.v0 AND q3.dst = q2.dst)",
         "has_embedding": f"WITH {EDGES}, {TRI} SELECT count(*) > 0 found FROM ({triangle}) WHERE c = 0 AND o = 1 AND p = 2",
         "domain_per_position": f"WITH {EDGES}, {TRI} SELECT DISTINCT CAST(0 AS INTEGER) pos, c vid FROM ({triangle}) UNION SELECT DISTINCT 1, o FROM ({triangle}) UNION SELECT DISTINCT 2, p FROM ({triangle})",
         "domain_sizes": f"WITH {EDGES}, {TRI} SELECT CAST(0 AS INTEGER) pos, count(DISTINCT c) n FROM ({triangle}) UNION ALL SELECT 1, count(DISTINCT o) FROM ({triangle}) UNION ALL SELECT 2, count(DISTINCT p) FROM ({triangle})",
-        "reversed_pair_dedup": CSV,
+        "reversed_pair_dedup": f"WITH {PAIRS} SELECT src, dst FROM csv",
         "import_edge_csv": CSV,
-        "import_profile_network": "WITH lab AS (SELECT c_custkey k, CAST(c_nationkey + 1 AS INTEGER) l FROM customer WHERE c_custkey % 10 <> 0), net AS (SELECT c_custkey v, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) nbr, c_custkey % 2 kind FROM customer) SELECT DISTINCT v src, a.l src_label, CAST(0 AS INTEGER) edge_label, nbr dst, b.l dst_label FROM net JOIN lab a ON a.k = v JOIN lab b ON b.k = nbr WHERE kind = 0 OR v < nbr",
+        "import_profile_network": "WITH lab AS (SELECT c_custkey k, CAST(c_nationkey + 1 AS INTEGER) l FROM customer), net AS (SELECT c_custkey v, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) nbr, c_custkey % 2 kind FROM customer) SELECT DISTINCT v src, a.l src_label, CAST(0 AS INTEGER) edge_label, nbr dst, b.l dst_label FROM net JOIN lab a ON a.k = v JOIN lab b ON b.k = nbr WHERE kind = 0 OR v < nbr",
         "export_arabesque": f"WITH {ADJ}, {verts}, ids AS (SELECT id, label, row_number() OVER (ORDER BY id) - 1 d FROM verts), near AS (SELECT DISTINCT a.src, ids.d FROM adj a JOIN ids ON a.dst = ids.id) SELECT ids.d dense, ids.d || ' ' || ids.label || ' ' || string_agg(CAST(near.d AS VARCHAR), ' ' ORDER BY near.d) AS \"value\" FROM ids JOIN near ON near.src = ids.id GROUP BY ids.d, ids.label",
         "export_scalemine_vertices": f"WITH {ADJ}, {verts} SELECT id, 'v ' || id || ' ' || label AS \"value\" FROM verts",
         "export_scalemine_edges": f"WITH {EDGES} SELECT 'e ' || dst || ' ' || src || ' 1' AS \"value\" FROM edges",

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from graphmine.functions.pattern import Code, Edge, n_vertices, vertex_labels
 
+#: Candidates that are broadcast (20 bytes each); more are joined by a shuffle.
+MOST_STEPS = 500_000
 STEP = "pid int, child int, s_label int, e_label int, d_label int"
 
 
@@ -21,8 +23,10 @@ def columns(emb: DataFrame) -> list[str]:
 
 
 def step_table(spark: SparkSession, steps: Iterable[tuple[int, int, Edge]]) -> DataFrame:
-    """(pattern, child, last edge) rows as a table; its size is the number of candidates, not of vertices."""
-    return spark.createDataFrame([(p, c, e.il, e.el, e.jl) for p, c, e in steps], STEP)
+    """(pattern, child, last edge) rows as a table, broadcast up to ``MOST_STEPS`` of them; its size is the number of candidates, not of vertices."""
+    rows = [(p, c, e.il, e.el, e.jl) for p, c, e in steps]
+    table = spark.createDataFrame(rows, STEP)
+    return F.broadcast(table) if len(rows) <= MOST_STEPS else table
 
 
 def _named(adj: DataFrame, d: int, extra: Iterable[str] = ()) -> DataFrame:
@@ -31,7 +35,7 @@ def _named(adj: DataFrame, d: int, extra: Iterable[str] = ()) -> DataFrame:
 
 def seed_embeddings(adj: DataFrame, d: int, steps: DataFrame) -> DataFrame:
     """Embeddings of one-edge patterns (``child`` of ``steps``)."""
-    found = _named(adj, d).join(F.broadcast(steps), ["s_label", "e_label", "d_label"])
+    found = _named(adj, d).join(steps, ["s_label", "e_label", "d_label"])
     return found.where("__s <> __d").select(F.col("child").alias("pid"), F.col("__s").alias("v0"), F.col("__d").alias("v1"))
 
 
@@ -42,7 +46,7 @@ def grow(emb: DataFrame, adj: DataFrame, i: int, j: int, d: int, steps: DataFram
     both ends.
     """
     own = columns(emb)
-    wide = emb.join(F.broadcast(steps), "pid")
+    wide = emb.join(steps, "pid")
     near = _named(adj, d)
     types = ["s_label", "e_label", "d_label"]
     if j < len(own):
@@ -71,11 +75,10 @@ def grown_supports(emb: DataFrame, adj: DataFrame, i: int, d: int, steps: DataFr
     own = columns(emb)
     near = _named(adj, d)
     types = ["s_label", "e_label", "d_label"]
-    some = F.broadcast(steps)
     has = near.select("__s", *types).distinct()
-    kept = emb.join(some, "pid").withColumn("__s", F.col(f"v{i}")).join(has, ["__s", *types])
+    kept = emb.join(steps, "pid").withColumn("__s", F.col(f"v{i}")).join(has, ["__s", *types])
     old = kept.groupBy("child").agg(F.least(*(F.count_distinct(c) for c in own)).alias("old"))
-    new = emb.select("pid", F.col(f"v{i}").alias("__s")).distinct().join(some, "pid").join(near, ["__s", *types]).groupBy("child").agg(F.count_distinct("__d").alias("new"))
+    new = emb.select("pid", F.col(f"v{i}").alias("__s")).distinct().join(steps, "pid").join(near, ["__s", *types]).groupBy("child").agg(F.count_distinct("__d").alias("new"))
     return old.join(new, "child").select(F.col("child").alias("pid"), F.least("old", "new").cast("long").alias("support"))
 
 
@@ -122,6 +125,7 @@ def project(emb: DataFrame, keep: DataFrame) -> DataFrame:
 def reduced_domains(adj: DataFrame, code: Code, rounds: int = 2) -> DataFrame:
     """Upper bounds of the domains: values that have, for each edge of the pattern, a neighbour among the bound of its other end."""
     labels = vertex_labels(code)
+    adj = adj.persist()  # read by each step
     bound: dict[int, DataFrame] = {}
     for v, label in enumerate(labels):
         bound[v] = adj.where(F.col("src_label") == label).select(F.col("src").alias("vid")).distinct()

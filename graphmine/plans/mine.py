@@ -58,15 +58,16 @@ def mine_codes(adj: DataFrame, min_support: int, max_edges: int = 100, progress:
     edges = frequent_adjacency(adj, spark.createDataFrame(list(types), TYPE_ROW)).persist()
     plain = one_label_each(edges)
     level = {c: s for c, s in found.items()}
-    tables: dict[tuple, tuple[DataFrame, dict[Code, int]]] = {}
+    tables: dict[tuple, tuple[DataFrame, dict[Code, int], DataFrame]] = {}
     for d in sorted({c[0].d for c in level}):
         some = {c: k for k, c in enumerate(c for c in seeds(types) if c in level and c[0].d == d)}
-        tables[((0, 1, d),)] = (_keep(match.seed_embeddings(edges, d, match.step_table(spark, [(0, k, c[0]) for c, k in some.items()]))), some)
+        emb = _keep(match.seed_embeddings(edges, d, match.step_table(spark, [(0, k, c[0]) for c, k in some.items()])))
+        tables[((0, 1, d),)] = (emb, some, emb)
     for size in range(2, max_edges + 1):
         last = size == max_edges
         after: dict[Code, int] = {}
-        grown: dict[tuple, tuple[DataFrame, dict[Code, int]]] = {}
-        for skeleton, (emb, ids) in tables.items():
+        grown: dict[tuple, tuple[DataFrame, dict[Code, int], DataFrame]] = {}
+        for skeleton, (emb, ids, _) in tables.items():
             children: dict[tuple[int, int, int], list[Code]] = defaultdict(list)
             for code in ids:
                 for child in extensions(code, types):
@@ -89,11 +90,11 @@ def mine_codes(adj: DataFrame, min_support: int, max_edges: int = 100, progress:
                 after |= {c: counted[k] for c, k in good.items()}
                 if not last and good:
                     kept = spark.createDataFrame([(k,) for k in good.values()], "pid int")
-                    grown[(*skeleton, (i, j, d))] = (more.join(F.broadcast(kept), "pid", "left_semi"), good)
+                    grown[(*skeleton, (i, j, d))] = (more.join(F.broadcast(kept) if len(good) <= match.MOST_STEPS else kept, "pid", "left_semi"), good, more)
                 elif not last:
                     more.unpersist()
-        for emb, _ in tables.values():
-            emb.unpersist()
+        for _, _, held in tables.values():
+            held.unpersist()
         found |= after
         log.info("%d edges: %d frequent patterns, %d so far", size, len(after), len(found))
         if progress:

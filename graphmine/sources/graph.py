@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EDGE = ["src", "src_label", "edge_label", "dst", "dst_label"]
@@ -61,13 +62,13 @@ def incident_lists(adj: DataFrame) -> DataFrame:
 def label_ids(df: DataFrame, column: str, first: int) -> DataFrame:
     """Dictionary ``value, label`` of a column's distinct values in order, from ``first`` on.
 
-    Ranks count lesser values in a self-join of the distinct values, so no window gathers the big table; dictionaries
-    are small.
+    A value's rank is the number of values in the slices (first two characters) before its own and its place there.
     """
-    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    other = values.select(F.col("value").alias("lesser"))
-    ranked = values.join(other, F.col("lesser") <= F.col("value")).groupBy("value").agg(F.count("*").alias("n"))
-    return ranked.select("value", (F.col("n") + F.lit(first - 1)).cast("int").alias("label"))
+    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct().withColumn("slice", F.substring("value", 1, 2))
+    counts = values.groupBy("slice").agg(F.count("*").alias("n"))
+    before = counts.select("slice", (F.sum("n").over(W.orderBy("slice")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("slice").orderBy("value"))
+    return values.withColumn("place", place).join(before, "slice").select("value", (F.col("before") + F.col("place") + F.lit(first - 1)).cast("int").alias("label"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _labelled(df: DataFrame, value: str, first: int, id_expr: str, prefix: str) -> DataFrame:
     ids = label_ids(df, value, first)
-    return df.join(F.broadcast(ids), df[value] == ids["value"]).select(*[c for c in df.columns], F.expr(id_expr).alias(f"{prefix}"), F.col("label").alias(f"{prefix}_label"))
+    return df.join(ids, df[value] == ids["value"]).select(*[c for c in df.columns], F.expr(id_expr).alias(f"{prefix}"), F.col("label").alias(f"{prefix}_label"))
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +96,6 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each event to its user's next one (edge label 1)."""
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     named = _labelled(events, "event_type", 1, "event_id", "v")
-    from pyspark.sql import Window as W
-
     nxt = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = named.select("v", "v_label", F.lead("v").over(nxt).alias("dst"), F.lead("v_label").over(nxt).alias("dst_label"))
     return edges(rows.select(F.col("v").alias("src"), F.col("v_label").alias("src_label"), F.lit(1).alias("edge_label"), "dst", "dst_label"))
