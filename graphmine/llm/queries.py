@@ -23,23 +23,28 @@ def tokenizer(name: str) -> str:
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text by the lattice model, and the word-unigram base; null texts are empty."""
     return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its dropped lines, and the counts of lines; null texts stay null."""
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its set size, component and number of links; texts without words link with nothing."""
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
 def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokenizer measures and verdict of every row; null texts fail the base rules."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -49,24 +54,29 @@ def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row under the law `rows`."""
     return hilbert_shards.assign_documents(table(spark, sf_dir, "documents"), 16)
 
 
 def op7_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, digest and all spans of every text; null texts have none."""
     return zstd_secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document, read back from the grammar-compressed store."""
     path = runtime.new_path(spark, "op8")
     repair_store.write_store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end_id=2)
     return repair_store.read_store(spark, path)
 
 
 def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with what it replies to, its root and its text without quotes."""
     return quote_links.link(table(spark, sf_dir, "conversations"))
 
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every row; null texts are empty."""
     return bpe_automaton.roundtrip_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
