@@ -68,10 +68,8 @@ def test_quotes(spark):
 
 
 def test_no_python_in_native_plans(docs, spark):
-    from graphmine.llm import line_dedup
-
     empty = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
-    frames = [quote_links.link(empty), quote_links.keys(empty), hilbert_shards.assign_documents(docs), line_dedup.dedup(docs), line_dedup.signed_lines(line_dedup.distinct_lines(docs, "text"))]
+    frames = [quote_links.link(empty), quote_links.keys(empty), hilbert_shards.assign_documents(docs)]
     for df in frames:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
