@@ -19,7 +19,7 @@ AC, AO, AP = 101, 201, 301  # first labels of customers, orders and parts
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(graph.trade_edges(spark, sf_dir))
+    return graph.adjacency(graph.trade_edges(spark, sf_dir), listed_once=True)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,8 @@ TYPE_ONE, TYPE_TWO = EdgeType(AC, 1, AO, ANY), EdgeType(AC, 3, AP, ANY)
 
 def _mine(edges: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plan.mine(trade(spark, sf_dir), threshold(spark, sf_dir), edges).select("n_edges", "code", "support")
+        one = graph.trade_edges(spark, sf_dir).withColumn("dir", F.lit(0).cast("byte"))
+        return plan.mine(one, threshold(spark, sf_dir), edges, one_view=True).select("n_edges", "code", "support")
 
     return run
 

@@ -6,12 +6,16 @@ skeleton (edges without labels) share one table, and labels travel in a small ta
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphmine.functions.pattern import Code, Edge, n_vertices, vertex_labels
+from graphmine.functions.pattern import Code, Edge, EdgeType, n_vertices, vertex_labels
+from graphmine.operators import store
 
 #: Candidates that are broadcast (20 bytes each); more are joined by a shuffle.
 MOST_STEPS = 500_000
@@ -82,6 +86,59 @@ def grown_supports(emb: DataFrame, adj: DataFrame, i: int, d: int, steps: DataFr
     return old.join(new, "child").select(F.col("child").alias("pid"), F.least("old", "new").cast("long").alias("support"))
 
 
+#: Edge types that start at one label and fit a mask.
+MOST_BITS = 62
+
+
+def wedge_supports(adj: DataFrame, rows: int, wedges: Iterable[tuple[EdgeType, EdgeType]]) -> dict[tuple[EdgeType, EdgeType], int]:
+    """Supports of pairs of edges at one centre, by the edges' types as the centre sees them, without enumerating pairs.
+
+    An end y of an edge of type s has a partner of type t if the centre has another end of that type: two ends of type t, or one
+    that is not y.  So each edge tells its end a mask of such types, and the ends' masks, and the centre's by type, are
+    merged and counted.  ``adj`` has ``rows`` rows, both views of every edge and one label for each vertex; at most
+    ``MOST_BITS`` types of ``wedges`` start at one label.
+    """
+    spark = adj.sparkSession
+    wanted = list(wedges)
+    at_label: dict[int, list[EdgeType]] = defaultdict(list)
+    for t in sorted({t for pair in wanted for t in pair}):
+        at_label[t.src_label].append(t)
+    place = {t: k for ts in at_label.values() for k, t in enumerate(ts)}
+    kind = {t: 64 * n + k for n, ts in enumerate(at_label.values()) for k, t in enumerate(ts)}
+    width = max(map(len, at_label.values()))
+    if width > MOST_BITS:
+        raise ValueError(f"more than {MOST_BITS} edge types at one label")
+    several = len({(t.src_label, t.dst_label) for t in kind}) < len(kind)
+    names = spark.createDataFrame([(*t, k) for t, k in kind.items()], "src_label int, edge_label int, dst_label int, dir byte, kind int")
+    named = adj.join(F.broadcast(names), ["src_label", "edge_label", "dst_label", "dir"]).where("src <> dst").select("src", "dst", "kind")
+    bit = F.expr("shiftleft(1L, kind & 63)")
+    told = []
+    for part in store.slices("src", rows):
+        some = named.where(part).repartition("src")
+        counted = some.groupBy("src", "kind").agg(F.count("dst").alias("n"))
+        types = counted.groupBy("src").agg(F.bit_or(bit).alias("once"), F.coalesce(F.bit_or(F.when(F.col("n") > 1, bit)), F.lit(0)).alias("twice")).hint("shuffle_hash")
+        mask = F.col("twice").bitwiseOR(F.col("once").bitwiseAND(F.bitwise_not(F.col("here")))).alias("mask")
+        if several:  # two vertices can have edges of several types
+            here = some.groupBy("src", "dst").agg(F.bit_or(bit).alias("here")).hint("shuffle_hash")
+            ends = some.join(here, ["src", "dst"]).join(types, "src").select("src", "dst", "kind", mask)
+            own = ends.groupBy("src", "kind").agg(F.bit_or("mask").alias("mask"))
+        else:
+            ends = some.withColumn("here", bit).join(types, "src").select("dst", "kind", mask)
+            own = counted.withColumn("here", bit).join(types, "src").select("src", "kind", mask)
+        told.append(store.keep(ends.select(F.lit(False).alias("centre"), F.col("dst").alias("v"), "kind", "mask").unionByName(own.select(F.lit(True).alias("centre"), F.col("src").alias("v"), "kind", "mask"))))
+    every = reduce(DataFrame.unionByName, told)
+    counts: Counter = Counter()
+    bits = [F.sum(F.shiftrightunsigned("mask", k).bitwiseAND(F.lit(1))).alias(f"n{k}") for k in range(width)]
+    with store.tidy(spark):
+        for part in store.slices("v", 2 * rows):
+            merged = every.where(part).groupBy("centre", "v", "kind").agg(F.bit_or("mask").alias("mask"))
+            for row in merged.groupBy("centre", "kind").agg(*bits).collect():
+                counts.update({(row[0], row[1], k): row[2 + k] for k in range(width)})
+    for table in told:
+        store.release(table)
+    return {(s, t): min(counts[True, kind[s], place[t]], counts[False, kind[s], place[t]], counts[False, kind[t], place[s]]) for s, t in wanted}
+
+
 def embeddings(adj: DataFrame, code: Code) -> DataFrame:
     """All embeddings of one pattern: columns ``v0`` ... in the order of its code."""
     spark = adj.sparkSession

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmine.functions.pattern import EdgeType
+from graphmine.operators import store
 from graphmine.sources.graph import TYPE
 
 #: Most frequent edge types that a search takes to the driver; labels are categories, so there are few.
@@ -17,6 +20,22 @@ def edge_type_support(adj: DataFrame) -> DataFrame:
     return adj.groupBy(*TYPE).agg(F.least(F.count_distinct("src"), F.count_distinct("dst")).cast("long").alias("support"))
 
 
+def edge_type_supports(adj: DataFrame, rows: int) -> dict[EdgeType, int]:
+    """``edge_type_support`` on the driver, from one view of the edges: the targets of a type are the sources of its reverse.
+
+    ``adj`` has ``rows`` rows and is read slice by slice.
+    """
+    found: Counter = Counter()
+    with store.tidy(adj.sparkSession):
+        for part in store.slices("src", rows):
+            each = adj.where(part).select("src", *TYPE).distinct()
+            counted = each.groupBy(*TYPE).agg(F.count("*")).limit(MOST_TYPES + 1).collect()
+            found.update({EdgeType(*r[:4]): r[4] for r in counted})
+            if len(found) > MOST_TYPES:
+                raise ValueError(f"more than {MOST_TYPES} edge types")
+    return {t: min(n, found[EdgeType(t.dst_label, t.edge_label, t.src_label, -t.d)]) for t, n in sorted(found.items())}
+
+
 def frequent_edge_types(adj: DataFrame, min_support: int) -> DataFrame:
     return edge_type_support(adj).where(F.col("support") >= min_support)
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,13 +21,17 @@ def edges(df: DataFrame, allow_self_loops: bool = False) -> DataFrame:
     return (some if allow_self_loops else some.where("src <> dst")).distinct()
 
 
-def adjacency(df: DataFrame, directed: bool = False, allow_self_loops: bool = False) -> DataFrame:
-    """Both views of every edge.  Undirected edges that are listed in both directions are one edge."""
-    one = edges(df, allow_self_loops)
+def adjacency(df: DataFrame, directed: bool = False, allow_self_loops: bool = False, listed_once: bool = False) -> DataFrame:
+    """Both views of every edge.  Undirected edges that are listed in both directions are one edge.
+
+    ``listed_once`` says that ``df`` comes from ``trade_edges`` or a like source: distinct edges of the model's types, no self-loops, none in both directions.
+    """
+    one = df if listed_once else edges(df, allow_self_loops)
     back = one.select(F.col("dst").alias("src"), F.col("dst_label").alias("src_label"), "edge_label", F.col("src").alias("dst"), F.col("src_label").alias("dst_label"))
     if directed:
         return one.withColumn("dir", F.lit(1).cast("byte")).unionByName(back.withColumn("dir", F.lit(-1).cast("byte")))
-    return one.unionByName(back).distinct().withColumn("dir", F.lit(0).cast("byte"))
+    both = one.unionByName(back)
+    return (both if listed_once else both.distinct()).withColumn("dir", F.lit(0).cast("byte"))
 
 
 def parse_adjacency(lines: DataFrame) -> DataFrame:
@@ -85,11 +91,14 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _labelled(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", 101, "3 * c_custkey", "c")
     orders = _labelled(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderstatus", 201, "3 * o_orderkey + 1", "o")
     part = _labelled(_table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", 301, "3 * p_partkey + 2", "p")
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    # dealt by one key, rows are made distinct on it without another shuffle
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     placed = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-    bought = lines.join(placed, lines["l_orderkey"] == placed["o_orderkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
+    bought = lines.join(placed, lines["l_orderkey"] == placed["o_orderkey"]).select("l_partkey", "c", "c_label", "o", "o_label").repartition("l_partkey").join(part, F.col("l_partkey") == part["p_partkey"])
+    own = ["l_partkey", "p", "p_label"]
     pick = lambda df, s, e, d: df.select(F.col(s).alias("src"), F.col(s + "_label").alias("src_label"), F.lit(e).alias("edge_label"), F.col(d).alias("dst"), F.col(d + "_label").alias("dst_label"))
-    return edges(pick(placed, "c", 1, "o").unionByName(pick(bought, "o", 2, "p")).unionByName(pick(bought, "c", 3, "p")))
+    kinds = [pick(placed.select("c", "c_label", "o", "o_label").distinct(), "c", 1, "o"), pick(bought.select(*own, "o", "o_label").distinct(), "o", 2, "p"), pick(bought.select(*own, "c", "c_label").distinct(), "c", 3, "p")]
+    return reduce(DataFrame.unionByName, [k.select(F.col("src").cast("long"), "src_label", "edge_label", F.col("dst").cast("long"), "dst_label").dropna() for k in kinds])
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 
 from brute_force import frequent
 from graphmine.functions.pattern import Edge, canonical_code
-from graphmine.operators import match, types
+from graphmine.operators import match, store, types
+from graphmine.plans.mine import _wedge_types as wedge_types
 from graphmine.plans.mine import mine, mine_codes
 from graphmine.sources.graph import adjacency
 
@@ -86,3 +87,31 @@ def test_nulls_make_no_edges_and_self_loops_on_request(spark):
     rows = [(1, 0, 0, 2, 1), (None, 0, 0, 2, 1), (1, 0, None, 2, 1), (3, 0, 0, 3, 0)]
     assert graph(spark, rows).count() == 2
     assert types.edge_type_support(graph(spark, rows, allow_self_loops=True)).where("src_label = dst_label").first()["support"] == 1
+
+
+def test_two_edges_are_counted_without_enumeration(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("enumerates")
+
+    r = random.Random(3)
+    label = [r.randint(0, 2) for _ in range(12)]
+    rows = drawn([(r.randrange(12), r.randrange(12)) for _ in range(16)] + [(0, k) for k in range(1, 9)], label)
+    want = frequent(rows, False, 1, 2)
+    directed = frequent(rows, True, 1, 2) if not any((v, u) in {(a[0], a[3]) for a in rows} for u, _, _, v, _ in rows) else None
+    monkeypatch.setattr(match, "grow", refuse)
+    for part in (1 << 30, 30):  # all rows by one job, and slice by slice
+        monkeypatch.setattr(store, "SLICE_ROWS", part)
+        assert mine_codes(graph(spark, rows), 1, 2) == want
+        if directed is not None:
+            assert mine_codes(graph(spark, rows, True), 1, 2) == directed
+
+
+def test_wedges_of_parallel_edges(spark):
+    r = random.Random(4)
+    label = [r.randint(0, 1) for _ in range(7)]
+    rows = [(u, label[u], r.randint(0, 1), v, label[v]) for u, v in ((r.randrange(7), r.randrange(7)) for _ in range(18)) if u != v]
+    adj = graph(spark, rows)
+    want = {c: s for c, s in frequent(rows, False, 1, 2).items() if len(c) == 2 and c[1].forward}
+    pairs = {c: wedge_types(c) for c in want}
+    found = match.wedge_supports(adj, adj.count(), pairs.values())
+    assert {c: found[p] for c, p in pairs.items()} == want
