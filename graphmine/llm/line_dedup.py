@@ -6,7 +6,8 @@ character 5-shingles, taken at all positions; a shorter line is one shingle.  ``
 Lines that agree in a band are tied to the least line of that band.  Ties whose sketches (four bits of a minimum) agree in five places
 of eight (true links miss that once in a thousand times at the threshold itself, and hardly ever above it) are verified by the exact Jaccard of their shingle sets.
 Members of a band that are then in another component than its least line are tied to the least of these, for ``STARS`` rounds more, and
-verified as well.  Components of verified ties (union-find by star steps) keep one line: the first in the document with the least id.
+verified as well.  What is still apart after them is compared in full: each member of a band outside the band's largest component
+with every member of another component, by sketch and then by the exact Jaccard.  Components of verified ties (union-find by star steps) keep one line: the first in the document with the least id.
 
 A worker holds the shingles of ``CHARACTERS`` characters, or of one longer line, at a time.
 """
@@ -200,6 +201,21 @@ def left_over(members: DataFrame, label: DataFrame) -> DataFrame:
     return left.join(least, "band").select("band", "name", "least")
 
 
+def apart(members: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
+    """The distinct pairs ``a, b`` of members of one band in different components whose sketches agree enough.
+
+    Rows of the join are members outside their band's largest component times members of it, so a crowd that is one component makes none.
+    """
+    part = label.select(F.col("node").alias("name"), F.col("component").alias("__part"))
+    placed = members.select("band", "name").join(part, "name", "left").select("band", "name", F.coalesce("__part", "name").alias("part"))
+    tally = placed.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band")
+    main = tally.agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("main"))
+    some = placed.join(main, "band").join(signed.select("name", *(f"k{w}" for w in range(SKETCH))), "name")
+    one, two = (some.select("band", F.col("name").alias(n), F.col("part").alias(f"part_{n}"), (F.col("part") != F.col("main")).alias(f"minor_{n}"), *(F.col(f"k{w}").alias(f"{n}{w}") for w in range(SKETCH))) for n in "ab")
+    met = one.where("minor_a").join(two, "band").where("part_a <> part_b and (not minor_b or a > b)")
+    return met.where(agreed("a", "b") >= LEAST_AGREED).select("a", "b").distinct()
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
 
@@ -218,14 +234,14 @@ def dropped_lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     named = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     occurrences = keep(lines_of(named, "text", F.col("id"), F.col("hash")).select("id", "hash", "place", line_name(F.col("line")).alias("name")), "line-table")
 
-    members = keep(members_of(signed), "line-members")
+    every = members = keep(members_of(signed), "line-members")
     written = [lines, signed, occurrences, members]
     links: DataFrame | None = None
-    for star in range(1 + STARS):
-        if star:
+    for star in range(2 + STARS):
+        if 0 < star <= STARS:
             members = keep(left_over(members, label), "line-members")
             written.append(members)
-        ties = keep(alike(members, signed), "line-ties")
+        ties = keep(alike(members, signed) if star <= STARS else apart(every, label, signed), "line-ties")
         texts = keep(lines.join(_ends(ties), "name", "left_semi"), "line-read")
         found = keep(verified(ties, texts), "line-links")
         written += [ties, texts, found]

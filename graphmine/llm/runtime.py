@@ -10,6 +10,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphmine.operators.store import tidy
+
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
@@ -53,7 +55,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    with tidy(spark):  # the job's shuffle files go with it
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -186,3 +186,33 @@ def test_repetitive_lines_and_templates(spark):
     gone = brute_drops(rows)
     got = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("__dropped = 1").collect()}
     assert {1, 3} <= got and got <= {i for i, _ in gone} and len(got) >= 0.99 * len(gone)
+
+
+def test_members_that_the_least_line_of_a_band_leaves_apart_are_compared(spark, monkeypatch):
+    import random
+
+    from graphmine.llm import line_dedup
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, lines = " ".join(word(7) for _ in range(10)), []
+    for _ in range(60):
+        line = f"{common} {word(7)} {word(7)} {word(7)}"
+        lines += [line, line[:-1] + "#"]
+    bands, _ = line_dedup.signatures(lines)
+    root = list(range(len(lines)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(lines)):
+        for j in range(i):
+            both, either = (int(x[0]) for x in line_dedup.jaccard_counts([lines[i]], [lines[j]]))
+            if 100 * both >= line_dedup.THRESHOLD * either and (bands[i] == bands[j]).any():
+                root[top(i)] = top(j)
+    parts = len({top(k) for k in range(len(lines))})
+    monkeypatch.setattr(line_dedup, "STARS", 0)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.dedup(docs).where("__dropped = 0").count() == parts < len(lines)
