@@ -166,7 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tailed_triangle_support": on(trade, lambda a: match.support(a, TAILED)),
         "path3_support": on(trade, lambda a: match.support(a, PATH3)),
         "star3_support": on(trade, lambda a: match.support(a, STAR3)),
-        "k4_support": lambda spark, d: match.support(graph.adjacency(_import_csv(spark, d).withColumn("src_label", F.lit(1)).withColumn("dst_label", F.lit(1))), canonical_code([Edge(i, j, 1, 0, 1) for i in range(4) for j in range(i + 1, 4)])),
+        "k4_support": lambda spark, d: match.support(_import_csv(spark, d).select("src", F.lit(1).alias("src_label"), "edge_label", "dst", F.lit(1).alias("dst_label"), F.lit(0).cast("byte").alias("dir")), canonical_code([Edge(i, j, 1, 0, 1) for i in range(4) for j in range(i + 1, 4)])),
         "parallel_edge_support": on(flags, _parallel),
         "antiparallel_edge_support": _antiparallel,
         "embedding_count": on(trade, lambda a: match.embedding_count(a, WEDGE)),

@@ -152,8 +152,50 @@ def embedding_count(adj: DataFrame, code: Code) -> DataFrame:
     return embeddings(adj, code).agg(F.count("*").alias("embeddings"))
 
 
+def clique_type(code: Code) -> EdgeType | None:
+    """The edges' type if the code is a clique of three vertices or more, undirected and of one label and edge label, else None."""
+    n = n_vertices(code)
+    kinds = {EdgeType(e.il, e.el, e.jl, e.d) for e in code}
+    pairs = {frozenset((e.i, e.j)) for e in code}
+    whole = n > 2 and len(code) == len(pairs) == n * (n - 1) // 2
+    kind = kinds.pop() if len(kinds) == 1 else None
+    return kind if whole and kind and kind.src_label == kind.dst_label and kind.d == 0 else None
+
+
+def clique_members(adj: DataFrame, kind: EdgeType, n: int) -> DataFrame:
+    """``vid`` of the vertices in a clique of ``n`` vertices with edges of one undirected type; ``adj`` has one view of every edge or both.
+
+    All positions of a clique have the same vertices, so each clique is found once: edges lead from the end with the lesser (degree, id) to
+    the other, a vertex knows its followers, and a clique's first vertex tells each follower which others come after it.  What both know are the
+    candidates for the next step.  The lists are shuffled, not embeddings, and slice by slice.
+    """
+    near = adj.where(F.col("src_label") == kind.src_label).where(F.col("dst_label") == kind.dst_label).where(F.col("edge_label") == kind.edge_label).where("dir = 0 and src <> dst")
+    pairs = store.keep(near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    degree = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n")))
+    of = lambda c: degree.select(F.col("v").alias(c), F.struct("n", F.col("v").alias("id")).alias(f"__{c}"))
+    ranked = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("__a", "__b").alias("x"), F.greatest("__a", "__b").alias("y"))
+    after = ranked.groupBy(F.col("x.id").alias("v")).agg(F.transform(F.array_sort(F.collect_list("y")), lambda y: y["id"]).alias("after"))
+    after = store.keep(after.where(F.size("after") > 0))
+    told = after.agg(F.coalesce(F.sum(F.expr("bigint(size(after)) * (size(after) - 1) div 2")), F.lit(0))).first()[0]
+    found = []
+    for part in store.slices("v", told):
+        # members so far, the last of them as v, and those that may come after it
+        met = after.where(part).select(F.array("v").alias("clique"), F.col("after").alias("may"))
+        for left in range(n - 1, 1, -1):
+            each = met.where(F.size("may") >= left).select("clique", "may", F.posexplode("may").alias("k", "v"))
+            each = each.select("clique", "v", F.expr("slice(may, k + 2, size(may))").alias("may")).where(F.size("may") >= left - 1)
+            met = each.join(after.hint("shuffle_hash"), "v").select(F.concat("clique", F.array("v")).alias("clique"), F.array_intersect("may", "after").alias("may")).where(F.size("may") >= left - 1)
+        found.append(store.keep(met.select(F.explode(F.concat("clique", "may")).alias("vid")).distinct()))
+    for table in (pairs, degree, after):
+        store.release(table)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def support(adj: DataFrame, code: Code) -> DataFrame:
-    """``support`` of one pattern; 0 if it has no embedding."""
+    """``support`` of one pattern; 0 if it has no embedding.  Cliques of one edge type are found without their embeddings."""
+    kind = clique_type(code)
+    if kind:
+        return clique_members(adj, kind, n_vertices(code)).agg(F.count("*").alias("support"))
     emb = embeddings(adj, code)
     return emb.agg(F.least(*(F.count_distinct(c) for c in columns(emb))).cast("long").alias("support"))
 

@@ -115,3 +115,47 @@ def test_wedges_of_parallel_edges(spark):
     pairs = {c: wedge_types(c) for c in want}
     found = match.wedge_supports(adj, adj.count(), pairs.values())
     assert {c: found[p] for c, p in pairs.items()} == want
+
+
+def rows_made_by_joins(spark, run):
+    """What ``run`` returns, and the rows that joins put out meanwhile."""
+    kept, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    seen = kept.executionsList().size()
+    found = run()
+    bus.waitUntilEmpty(30_000)
+    made = 0
+    for k in range(seen, kept.executionsList().size()):
+        number = kept.executionsList().apply(k).executionId()
+        values, nodes = kept.executionMetrics(number), kept.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = node.metrics()
+            for metric in map(metrics.apply, range(metrics.size())) if "Join" in node.name() else ():
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return found, made
+
+
+def test_cliques_around_a_hub_are_found_without_pairs_of_its_neighbours(spark):
+    fours = [(a, b) for k in (1000, 2000) for a in range(k, k + 4) for b in range(a + 1, k + 4)]
+    pairs = [(0, v) for v in range(1, 400)] + fours + [(0, 1000), (0, 1001)]
+    adj = graph(spark, drawn(pairs, [1] * 2004))
+    code = canonical_code([Edge(i, j, 1, 0, 1) for i in range(4) for j in range(i + 1, 4)])
+    found, made = rows_made_by_joins(spark, lambda: match.support(adj, code).first()["support"])
+    assert found == 8 and made < 10 * len(pairs)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5])
+def test_cliques_of_random_graphs(spark, monkeypatch, n):
+    monkeypatch.setattr(store, "SLICE_ROWS", 150)
+    r = random.Random(n)
+    pairs = {tuple(sorted(r.sample(range(40), 2))) for _ in range(260)} | {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    rows = drawn([p if r.random() < 0.5 else p[::-1] for p in sorted(pairs)], [1] * 40) + [(50, 1, 0, 51, 1), (51, 1, 1, 52, 1), (50, 1, 0, 52, 1), (7, 1, 0, 60, 2)]
+    adj = graph(spark, rows)
+    near = {v: {b for a, b in pairs | {(b, a) for a, b in pairs} if a == v} for v in range(40)}
+    cliques = [{v} for v in near]
+    for _ in range(n - 1):
+        cliques = [c | {v} for c in cliques for v in set.intersection(*(near[x] for x in c)) if v > max(c)]
+    code = canonical_code([Edge(i, j, 1, 0, 1) for i in range(n) for j in range(i + 1, n)])
+    want = len(set().union(*cliques))
+    assert want and match.support(adj, code).first()["support"] == want == match.support(adj.where("src < dst"), code).first()["support"]
