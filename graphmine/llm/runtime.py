@@ -51,12 +51,21 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Free what finished jobs have left on the driver: plans, task results, broadcasts and network buffers.
+
+    The collector would else let the heap grow to its limit first, and buffers outside the heap are held by garbage inside it.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
     with tidy(spark):  # the job's shuffle files go with it
         df.write.parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
