@@ -44,5 +44,6 @@ def components(links: DataFrame) -> DataFrame:
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = runtime.materialize(_small_star(_large_star(now)), "links")
+        last, now = now, runtime.materialize(_small_star(_large_star(now)), "links")
+        runtime.drop_tables([last])
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

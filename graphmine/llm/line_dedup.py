@@ -3,7 +3,8 @@
 Every line with a visible character is named by a hash, and equal lines are one from the first shuffle on.  A line is the set of its
 character 5-shingles, taken at all positions; a shorter line is one shingle.  ``BANDS`` * ``ROWS`` minima sign it, each under a hash of its own.
 
-Lines that agree in a band are tied to the least line of that band.  Ties whose sketches (four bits of a minimum) agree in five places
+Lines that agree in a band are tied to the least line of that band: at first each line to the least of these alone, then to those of the bands where it
+is still in another component, so that a crowd of near copies makes one tie a line and not one a band.  Ties whose sketches (four bits of a minimum) agree in five places
 of eight (true links miss that once in a thousand times at the threshold itself, and hardly ever above it) are verified by the exact Jaccard of their shingle sets.
 Members of a band that are then in another component than its least line are tied to the least of these, for ``STARS`` rounds more, and
 verified as well.  What is still apart after them is compared in full: each member of a band outside the band's largest component
@@ -176,6 +177,11 @@ def members_of(signed: DataFrame) -> DataFrame:
     return dealt.join(least, "band").select("band", "name", "least")
 
 
+def first_ties(members: DataFrame) -> DataFrame:
+    """For each member the least of its bands' least lines, as ``members`` of one band a line."""
+    return members.where("name <> least").groupBy("name").agg(F.min("least").alias("least"))
+
+
 def alike(members: DataFrame, signed: DataFrame) -> DataFrame:
     """The distinct pairs ``a, b`` of a member of a band and its least line whose sketches agree enough."""
     pairs = members.where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct()
@@ -193,10 +199,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.mapInArrow(_verify_batches, "a long, b long")
 
 
+def unmet(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of bands in another component than the least of their band."""
+    one, two = (label.select(F.col("node").alias(n), F.col("component").alias(f"__{n}")) for n in ("name", "least"))
+    return members.join(one, "name", "left").join(two, "least", "left").where(F.coalesce("__name", "name") != F.coalesce("__least", "least")).select("band", "name", "least")
+
+
 def left_over(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members of bands in another component than the least of their band, with the least of these as ``least``; bands where one is left go."""
-    one, two = (label.select(F.col("node").alias(n), F.col("component").alias(f"__{n}")) for n in ("name", "least"))
-    left = members.join(one, "name", "left").join(two, "least", "left").where(F.coalesce("__name", "name") != F.coalesce("__least", "least")).select("band", "name")
+    left = unmet(members, label).select("band", "name")
     least = left.groupBy("band").agg(F.min("name").alias("least"), F.max("name").alias("top")).where("least < top").select("band", "least")
     return left.join(least, "band").select("band", "name", "least")
 
@@ -236,17 +247,22 @@ def dropped_lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     every = members = keep(members_of(signed), "line-members")
     written = [lines, signed, occurrences, members]
-    links: DataFrame | None = None
-    for star in range(2 + STARS):
-        if 0 < star <= STARS:
-            members = keep(left_over(members, label), "line-members")
+    label: DataFrame | None = None
+    for star in range(3 + STARS):
+        if 0 < star < 2 + STARS:
+            members = keep(unmet(every, label) if star == 1 else left_over(members, label), "line-members")
             written.append(members)
-        ties = keep(alike(members, signed) if star <= STARS else apart(every, label, signed), "line-ties")
+        tied = apart(every, label, signed) if star == 2 + STARS else alike(members if star else first_ties(every), signed)
+        ties = keep(tied, "line-ties")
         texts = keep(lines.join(_ends(ties), "name", "left_semi"), "line-read")
         found = keep(verified(ties, texts), "line-links")
         written += [ties, texts, found]
-        links = found if links is None else found.unionByName(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        before, links = label, found
+        if before is not None:
+            links = found.unionByName(before.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         label = components(links)
+        if before is not None:
+            runtime.drop_tables([before])
 
     # without a null id first: a document with an id is kept before one without
     order = F.coalesce(F.col("id"), F.lit((1 << 63) - 1))

@@ -215,3 +215,40 @@ def test_members_that_the_least_line_of_a_band_leaves_apart_are_compared(spark):
     parts = len({top(k) for k in range(len(lines))})
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert line_dedup.dedup(docs).where("__dropped = 0").count() == parts < len(lines)
+
+
+def test_a_crowd_of_near_lines_makes_one_tie_a_line(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common = " ".join(word() for _ in range(40))
+    docs = spark.createDataFrame([(k, f"{common} {k:04d}") for k in range(400)], "doc_id long, text string")
+    read, verified = [], line_dedup.verified
+
+    def counted(pairs, texts):
+        read.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    assert line_dedup.dedup(docs).where("__dropped = 0").count() == 1 and sum(read) <= 400
+
+
+def test_rounds_of_components_leave_one_table(spark):
+    import glob
+
+    from graphmine.llm import runtime
+
+    folder = runtime.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/links-*"))
+    label = components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"))
+    assert label.where("component = 0").count() == 61 and len(set(glob.glob(f"{folder}/links-*")) - before) == 1
+
+
+def test_a_written_table_frees_the_garbage_on_the_driver(spark):
+    from graphmine.llm import runtime
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    assert runtime.materialize(spark.range(3), "test-garbage").count() == 3 and whole() > before
