@@ -4,11 +4,12 @@ Every line with a visible character is named by a hash, and equal lines are one
 character 5-shingles, taken at all positions; a shorter line is one shingle.  ``BANDS`` * ``ROWS`` minima sign it, each under a hash of its own.
 
 Lines that agree in a band are tied to the least line of that band: at first each line to the least of these alone, then to those of the bands where it
-is still in another component, so that a crowd of near copies makes one tie a line and not one a band.  Ties whose sketches (four bits of a minimum) agree in five places
-of eight (true links miss that once in a thousand times at the threshold itself, and hardly ever above it) are verified by the exact Jaccard of their shingle sets.
-Members of a band that are then in another component than its least line are tied to the least of these, for ``STARS`` rounds more, and
-verified as well.  What is still apart after them is compared in full: each member of a band outside the band's largest component
-with every member of another component, by sketch and then by the exact Jaccard.  Components of verified ties (union-find by star steps) keep one line: the first in the document with the least id.
+is still in another component, so that a crowd of near copies makes one tie a line and not one a band; and there to the least of such lines in the band as well.
+A tie is verified by the exact Jaccard of the lines' shingle sets, unless their sketches (four bits of a minimum) agree in fewer than five places
+of eight (true links do that once in a thousand times at the threshold itself, and hardly ever above it), or their maps (parities of parts of
+the set) differ in more bits than linked sets can, which loses none.  What is still apart then is compared in full: each member of a band outside the
+band's largest component with every member of another component, by sketch and map and then by the exact Jaccard.  The time of that grows with the product
+of the two; rows are made of the alike pairs alone.  Components of verified ties (union-find by star steps) keep one line: the first in the document with the least id.
 
 A worker holds the shingles of ``CHARACTERS`` characters, or of one longer line, at a time.
 """
@@ -29,8 +30,10 @@ from graphmine.llm.components import components
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 80, 10, 5
 #: Longs of a sketch, 16 minima each; places that must agree for a verification.
 SKETCH, LEAST_AGREED = 3, 30
-#: Rounds of stars among what a band leaves apart.
-STARS = 2
+#: Longs of a map of parities (a power of two).
+MAP = 16
+#: Names of lines that a worker knows as signed before it forgets them.
+KNOWN = 1 << 17
 #: Characters that are hashed at once.
 CHARACTERS = 1 << 16
 #: Keys with at least one part in this of all rows are joined by a broadcast; there are at most so many.
@@ -92,19 +95,34 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bands, sketch
 
 
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, int]:
+    """Sorted distinct numbers, each a line's position before the leading bits (so many) of a shingle's hash."""
+    bits = 64 - len(lines).bit_length()
+    hashes, counts = shingles(lines)
+    named = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(bits) | hashes >> np.uint64(64 - bits))
+    return named[np.append(True, named[1:] != named[:-1])], bits
+
+
+def parity_maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the size of its shingle set, and for each of 64 * ``MAP`` parts of the hashes' range whether the set has an odd number there.
+
+    Two maps differ in as many bits as the sets' symmetric difference has elements, or in fewer.
+    """
+    sets, bits = shingle_sets(lines)
+    row, wide = (sets >> np.uint64(bits)).astype(np.int64), 64 * MAP
+    place = (sets >> np.uint64(bits - (wide.bit_length() - 1))).astype(np.int64) & (wide - 1)
+    odd = (np.bincount(row * wide + place, minlength=len(lines) * wide) & 1).astype(np.uint8)
+    return np.bincount(row, minlength=len(lines)), np.packbits(odd.reshape(len(lines), wide), axis=1, bitorder="little").view(np.int64)
+
+
 def jaccard_counts(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each pair of lines the sizes of the intersection and of the union of their shingle sets."""
     n = len(left)
-    bits = np.uint64(64 - n.bit_length())
-    sets, sizes = [], []
-    for lines in (left, right):
-        hashes, counts = shingles(lines)
-        row = np.repeat(np.arange(n, dtype=np.uint64), counts)
-        named = np.sort(row << bits | hashes >> (np.uint64(64) - bits))
-        sets.append(named[np.append(True, named[1:] != named[:-1])])
-        sizes.append(np.bincount((sets[-1] >> bits).astype(np.int64), minlength=n))
+    sets, bits = zip(*map(shingle_sets, (left, right)), strict=True)
+    position = np.uint64(bits[0])
+    sizes = [np.bincount((x >> position).astype(np.int64), minlength=n) for x in sets]
     met = np.sort(np.concatenate(sets))
-    both = np.bincount((met[1:][met[1:] == met[:-1]] >> bits).astype(np.int64), minlength=n)
+    both = np.bincount((met[1:][met[1:] == met[:-1]] >> position).astype(np.int64), minlength=n)
     return both, sizes[0] + sizes[1] - both
 
 
@@ -121,7 +139,16 @@ def _runs(sizes: list[int]) -> Iterator[slice]:
 
 
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: set[int] = set()
     for batch in batches:
+        new = []
+        for k, name in enumerate(batch.column(0).to_pylist()):
+            if name not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known.add(name)
+                new.append(k)
+        batch = batch.take(pa.array(new, pa.int32()))
         names, lines = batch.column(0), batch.column(1).to_pylist()
         for run in _runs([len(x) + SHINGLE for x in lines]):
             bands, sketch = signatures(lines[run])
@@ -131,6 +158,15 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(columns, ["name", "bands", *(f"k{k}" for k in range(SKETCH))])
 
 
+def _map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = batch.column(1).to_pylist()
+        for run in _runs([len(x) + SHINGLE for x in lines]):
+            sizes, maps = parity_maps(lines[run])
+            columns = [x.slice(run.start, run.stop - run.start) for x in batch.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP))], [*batch.schema.names, "n", *(f"w{k}" for k in range(MAP))])
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -154,27 +190,42 @@ def distinct_lines(docs: DataFrame, text: str) -> DataFrame:
     return lines_of(docs, text).select(line_name(F.col("line")).alias("name"), "line").dropDuplicates(["name"])
 
 
-def agreed(left: str, right: str) -> Column:
-    """Places of two sketches that agree."""
+def alike_enough() -> Column:
+    """Whether enough places of the sketches of ``a`` and ``b`` agree, and their maps differ in no more bits than linked sets can."""
     total = F.lit(16 * SKETCH)
     for word in range(SKETCH):
-        x = F.col(f"{left}{word}").bitwiseXOR(F.col(f"{right}{word}"))
+        x = F.col(f"a_k{word}").bitwiseXOR(F.col(f"b_k{word}"))
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         total = total - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+    apart = sum((F.bit_count(F.col(f"a_w{word}").bitwiseXOR(F.col(f"b_w{word}"))) for word in range(MAP)), F.lit(0))
+    return (total >= LEAST_AGREED) & ((100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (F.col("a_n") + F.col("b_n")))
+
 
+#: What a pair is judged by before it is verified.
+JUDGED = [*(f"k{w}" for w in range(SKETCH)), "n", *(f"w{w}" for w in range(MAP))]
 
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """``name``, ``bands`` and sketch of ``lines`` (``name, line``)."""
-    runtime.ship(lines.sparkSession)
-    return lines.select("name", "line").mapInArrow(_sign_batches, "name long, bands array<long>, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
+
+def signed_lines(docs: DataFrame, text: str) -> DataFrame:
+    """``name``, ``bands`` and sketch of all lines; a line that a worker has forgotten comes again."""
+    runtime.ship(docs.sparkSession)
+    lines = lines_of(docs, text).select(line_name(F.col("line")).alias("name"), "line")
+    return lines.mapInArrow(_sign_batches, "name long, bands array<long>, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
 
 
 def members_of(signed: DataFrame) -> DataFrame:
     """``band, name, least`` of all bands with two lines or more."""
     dealt = signed.select("name", F.explode("bands").alias("band")).repartition("band")
     least = dealt.groupBy("band").agg(F.min("name").alias("least"), F.max("name").alias("top")).where("least < top").select("band", "least").hint("shuffle_hash")
-    return dealt.join(least, "band").select("band", "name", "least")
+    return dealt.join(least, "band").select("band", "name", "least").distinct()
+
+
+def members_lines(docs: DataFrame, text: str, members: DataFrame, signed: DataFrame) -> DataFrame:
+    """``name, line``, sketch, set size and map of the lines that share a band with another."""
+    wanted = members.select("name").distinct()
+    sketches = signed.join(wanted.hint("shuffle_hash"), "name", "left_semi").select("name", *JUDGED[:SKETCH]).dropDuplicates(["name"])
+    lines = distinct_lines(docs, text).join(sketches.hint("shuffle_hash"), "name").select("name", "line", *JUDGED[:SKETCH])
+    runtime.ship(docs.sparkSession)
+    return lines.mapInArrow(_map_batches, "name long, line string, " + ", ".join(f"{k} long" for k in JUDGED))
 
 
 def first_ties(members: DataFrame) -> DataFrame:
@@ -182,12 +233,11 @@ def first_ties(members: DataFrame) -> DataFrame:
     return members.where("name <> least").groupBy("name").agg(F.min("least").alias("least"))
 
 
-def alike(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """The distinct pairs ``a, b`` of a member of a band and its least line whose sketches agree enough."""
+def alike(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs ``a, b`` of a member of a band and its least line that are alike enough."""
     pairs = members.where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct()
-    one, two = (signed.select(F.col("name").alias(n), *(F.col(f"k{w}").alias(f"{n}{w}") for w in range(SKETCH))) for n in "ab")
-    met = pairs.join(two.hint("shuffle_hash"), "b").join(one.hint("shuffle_hash"), "a")
-    return met.where(agreed("a", "b") >= LEAST_AGREED).select("a", "b")
+    one, two = (texts.select(F.col("name").alias(n), *(F.col(k).alias(f"{n}_{k}") for k in JUDGED)) for n in "ab")
+    return pairs.join(two.hint("shuffle_hash"), "b").join(one.hint("shuffle_hash"), "a").where(alike_enough()).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,30 +255,26 @@ def unmet(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.join(one, "name", "left").join(two, "least", "left").where(F.coalesce("__name", "name") != F.coalesce("__least", "least")).select("band", "name", "least")
 
 
-def left_over(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of bands in another component than the least of their band, with the least of these as ``least``; bands where one is left go."""
-    left = unmet(members, label).select("band", "name")
-    least = left.groupBy("band").agg(F.min("name").alias("least"), F.max("name").alias("top")).where("least < top").select("band", "least")
-    return left.join(least, "band").select("band", "name", "least")
+def second_ties(left: DataFrame) -> DataFrame:
+    """``left`` (of ``unmet``), and its members with the least of them in their band as ``least``."""
+    least = left.groupBy("band").agg(F.min("name").alias("least"))
+    return left.unionByName(left.select("band", "name").join(least, "band").select("band", "name", "least"))
 
 
-def apart(members: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
-    """The distinct pairs ``a, b`` of members of one band in different components whose sketches agree enough.
+def apart(members: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs ``a, b`` of members of one band in different components that are alike enough.
 
-    Rows of the join are members outside their band's largest component times members of it, so a crowd that is one component makes none.
+    Compared are members outside their band's largest component with members of it, so a crowd that is one component takes no time; rows are
+    made of alike pairs only.
     """
     part = label.select(F.col("node").alias("name"), F.col("component").alias("__part"))
     placed = members.select("band", "name").join(part, "name", "left").select("band", "name", F.coalesce("__part", "name").alias("part"))
     tally = placed.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band")
     main = tally.agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("main"))
-    some = placed.join(main, "band").join(signed.select("name", *(f"k{w}" for w in range(SKETCH))), "name")
-    one, two = (some.select("band", F.col("name").alias(n), F.col("part").alias(f"part_{n}"), (F.col("part") != F.col("main")).alias(f"minor_{n}"), *(F.col(f"k{w}").alias(f"{n}{w}") for w in range(SKETCH))) for n in "ab")
+    some = placed.join(main, "band").join(texts.select("name", *JUDGED), "name")
+    one, two = (some.select("band", F.col("name").alias(n), F.col("part").alias(f"part_{n}"), (F.col("part") != F.col("main")).alias(f"minor_{n}"), *(F.col(k).alias(f"{n}_{k}") for k in JUDGED)) for n in "ab")
     met = one.where("minor_a").join(two, "band").where("part_a <> part_b and (not minor_b or a > b)")
-    return met.where(agreed("a", "b") >= LEAST_AGREED).select("a", "b").distinct()
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
+    return met.where(alike_enough()).select("a", "b").distinct()
 
 
 def _join_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -240,29 +286,31 @@ def _join_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, total:
 def dropped_lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``__id``, ``__hash`` (of the text) and ``__drop`` (places of lines to drop) of the documents that lose lines."""
     keep = runtime.materialize
-    lines = keep(distinct_lines(docs, text), "line-texts")
-    signed = keep(signed_lines(lines), "line-signatures")
-    named = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-    occurrences = keep(lines_of(named, "text", F.col("id"), F.col("hash")).select("id", "hash", "place", line_name(F.col("line")).alias("name")), "line-table")
+    signed = keep(signed_lines(docs, text), "line-signatures")
+    members = keep(members_of(signed), "line-members")
+    texts = keep(members_lines(docs, text, members, signed), "line-texts")
+    runtime.drop_tables([signed])
 
-    every = members = keep(members_of(signed), "line-members")
-    written = [lines, signed, occurrences, members]
+    written = [members, texts]
     label: DataFrame | None = None
-    for star in range(3 + STARS):
-        if 0 < star < 2 + STARS:
-            members = keep(unmet(every, label) if star == 1 else left_over(members, label), "line-members")
-            written.append(members)
-        tied = apart(every, label, signed) if star == 2 + STARS else alike(members if star else first_ties(every), signed)
-        ties = keep(tied, "line-ties")
-        texts = keep(lines.join(_ends(ties), "name", "left_semi"), "line-read")
+    for tied in (
+        lambda: alike(first_ties(members), texts),
+        lambda: alike(second_ties(unmet(members, label)), texts),
+        lambda: apart(members, label, texts),
+    ):
+        ties = keep(tied(), "line-ties")
         found = keep(verified(ties, texts), "line-links")
-        written += [ties, texts, found]
+        written += [ties, found]
         before, links = label, found
         if before is not None:
             links = found.unionByName(before.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         label = components(links)
         if before is not None:
             runtime.drop_tables([before])
+    runtime.drop_tables(written)
+
+    named = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    occurrences = keep(lines_of(named, "text", F.col("id"), F.col("hash")).select("id", "hash", "place", line_name(F.col("line")).alias("name")), "line-table")
 
     # without a null id first: a document with an id is kept before one without
     order = F.coalesce(F.col("id"), F.lit((1 << 63) - 1))
@@ -276,7 +324,7 @@ def dropped_lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     rest = places.where("first").join(stay, "group").where(~((F.col("hash") == F.col("keep_hash")) & (F.col("place") == F.col("keep_place"))))
     away = places.where("not first").select("id", "hash", "place").unionByName(rest.select("id", "hash", "place"))
     gone = keep(away.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set("place").alias("__drop")), "line-gone")
-    runtime.drop_tables([*written, label, groups, sizes, several, places])
+    runtime.drop_tables([occurrences, label, groups, sizes, several, places])
     return gone
 
 

@@ -252,3 +252,38 @@ def test_a_written_table_frees_the_garbage_on_the_driver(spark):
     whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
     before = whole()
     assert runtime.materialize(spark.range(3), "test-garbage").count() == 3 and whole() > before
+
+
+def test_maps_never_exceed_the_difference():
+    rnd = random.Random(3)
+    lines = ["", "ab", "abcde", "ab" * 50, "ab" * 75]
+    for n in (9, 60, 300, 3000):
+        line = "".join(rnd.choice("abcdefgh") for _ in range(n))
+        lines += [line, line[1:] + "!", line[: n // 2] + "?" + line[n // 2 :]]
+    sizes, maps = line_dedup.parity_maps(lines)
+    alone = [line_dedup.parity_maps([x]) for x in lines]
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in lines]
+    assert list(sizes) == [len(x) for x in sets] == [int(n[0]) for n, _ in alone]
+    assert all((maps[i] == m[0]).all() for i, (_, m) in enumerate(alone))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert sum(int(w).bit_count() for w in (maps[i] ^ maps[j]).view(np.uint64)) <= len(x ^ y)
+
+
+def test_a_crowd_of_unlike_lines_makes_few_pairs(spark, monkeypatch):
+    """Lines with a common part, no two of which link: the full comparison leaves hardly any pair to verify."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common = " ".join(word() for _ in range(24))
+    lines = [" ".join([common, *(word() for _ in range(6))]) for _ in range(150)]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    assert 0.6 < min(len(x & y) / len(x | y) for x in sets for y in sets) and max(len(x & y) / len(x | y) for x in sets for y in sets if x is not y) < 0.8
+    read, verified = [], line_dedup.verified
+
+    def counted(pairs, texts):
+        read.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.dedup(docs).where("__dropped = 0").count() == len(lines) and sum(read) <= len(lines)
